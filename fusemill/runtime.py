@@ -56,3 +56,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def tasks_for(rows: int, per_task: int, least: int = 1) -> int:
     """Number of tasks so that none gets more than about ``per_task`` rows."""
     return max(least, -(-rows // per_task))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy per row: use all cores even where the input is a single small file."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
