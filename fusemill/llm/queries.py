@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fusemill.llm import graph, leximin, minhash, suffixes, topn
+from fusemill.llm import fmindex, graph, leximin, minhash, mixing, sentences, suffixes, topn
 
-_MODULES = (topn, leximin, minhash, suffixes, graph)
+_MODULES = (topn, leximin, minhash, suffixes, graph, fmindex, mixing, sentences)
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
