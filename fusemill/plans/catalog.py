@@ -1,8 +1,707 @@
-"""All core queries by name, with their SQL oracles."""
+"""All core queries by name, with the SQL that gives the same rows.
+
+Corpus: the latest row of every passage; text queries: the latest row of every query with a text; dense corpus: the
+``embeddings`` table, of which every id divisible by 20 is a query against all rows.
+"""
 
 from __future__ import annotations
 
-from fusemill.operators import references
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fusemill.functions import scoring, text, vectors
+from fusemill.operators import ann, dense, hybrid, index, metrics, references, sampling, sparse
+from fusemill.operators.ranking import top_k
+from fusemill.runtime import spread, table, written
+
+K = 10
+DEPTH = 100
+QUERY_STEP = 20
+PROBED = 4
+
+QUERIES: dict = {**references.QUERIES}
+ORACLES: dict[str, str] = {**references.ORACLES}
+
+
+def _query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# ---- base relations -------------------------------------------------------------------------------------------
+
+
+def corpus(spark, d: str) -> DataFrame:
+    """(doc_id, url, title, body, lang, data_split): the latest row per passage."""
+    rows = table(spark, d, "passages").filter("doc_id is not null")
+    order = [F.col("loaded_at").desc_nulls_last(), F.coalesce("body", F.lit("")).desc(), F.coalesce("title", F.lit("")).desc(), F.coalesce("url", F.lit("")).desc()]
+    return dense.last_per_key(rows, "doc_id", order).select("doc_id", "url", "title", "body", "lang", "data_split")
+
+
+def query_texts(spark, d: str) -> DataFrame:
+    rows = table(spark, d, "queries").filter("qid is not null and text is not null")
+    return dense.last_per_key(rows, "qid", [F.col("loaded_at").desc_nulls_last(), F.col("text").desc()]).select("qid", "text")
+
+
+def judged(spark, d: str) -> DataFrame:
+    return table(spark, d, "qrels_test").filter("qid is not null and pid is not null").select("qid", F.col("pid").alias("doc_id")).distinct()
+
+
+def _analysed():
+    return text.terms(text.clean_text(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("body", F.lit("")))))
+
+
+def corpus_tokens(spark, d: str) -> DataFrame:
+    return index.tokens(spread(corpus(spark, d)), "doc_id", _analysed())
+
+
+def _tok_tf(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    tok = written(corpus_tokens(spark, d), "tokens")
+    return tok, written(index.term_frequencies(tok), "tf")
+
+
+def _queries(spark, d: str) -> DataFrame:
+    return sparse.text_queries(query_texts(spark, d), "qid", text.terms(text.clean_text(F.col("text"))))
+
+
+def _postings(spark, d: str, method: str = "lucene") -> tuple[DataFrame, DataFrame]:
+    tok, tf = _tok_tf(spark, d)
+    return tok, index.postings(tok, tf, method)
+
+
+def _emb(spark, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
+
+
+def _emb_queries(spark, d: str) -> DataFrame:
+    return _emb(spark, d).filter(F.pmod("doc_id", F.lit(QUERY_STEP)) == 0).select(F.col("doc_id").alias("qid"), "vector")
+
+
+_SPACE = text.SPACE
+
+
+def _clean_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({x}, '{text.MARKERS}', ' ', 'g'), '{_SPACE}+', ' ', 'g'))"
+
+
+_BASE = f"""
+corpus as (select doc_id, url, title, body, lang, data_split from (select *, row_number() over (partition by doc_id
+    order by loaded_at desc nulls last, coalesce(body, '') desc, coalesce(title, '') desc, coalesce(url, '') desc) as n from passages where doc_id is not null) where n = 1),
+qtexts as (select qid, text from (select *, row_number() over (partition by qid order by loaded_at desc nulls last, text desc) as n from queries where qid is not null and text is not null) where n = 1),
+judged as (select distinct qid, pid as doc_id from qrels_test where qid is not null and pid is not null),
+tok as (select doc_id, regexp_extract_all(lower({_clean_sql("concat_ws(' ', coalesce(title, ''), coalesce(body, ''))")}), '{text.WORD}') as tokens from corpus),
+dls as (select doc_id, len(tokens) as dl from tok),
+tf as (select doc_id, term, count(*) as tf from (select doc_id, unnest(tokens) as term from tok) group by 1, 2),
+dfs as (select term, count(*) as df from tf group by 1),
+stats as (select count(*) as n_docs, avg(dl) as avgdl from dls),
+qterms as (select qid, term, count(*)::double as weight from (select qid, unnest(regexp_extract_all(lower({_clean_sql('text')}), '{text.WORD}')) as term from qtexts) group by 1, 2)"""
+_IDF_SQL = {
+    "robertson": "ln(greatest(1e0, (n_docs - df + 5e-1) / (df + 5e-1)))",
+    "lucene": "ln(1e0 + (n_docs - df + 5e-1) / (df + 5e-1))",
+    "atire": "ln(n_docs::double / df)",
+    "bm25l": "ln((n_docs + 1e0) / (df + 5e-1))",
+    "bm25+": "ln((n_docs + 1e0) / df)",
+}
+_NORM = "(25e-2 + 75e-2 * dl / avgdl)"
+_TF_SQL = {
+    "robertson": f"tf / (12e-1 * {_NORM} + tf)",
+    "lucene": f"tf / (12e-1 * {_NORM} + tf)",
+    "atire": f"tf * 22e-1 / (tf + 12e-1 * {_NORM})",
+    "bm25l": f"22e-1 * (tf / {_NORM} + 5e-1) / (12e-1 + tf / {_NORM} + 5e-1)",
+    "bm25+": f"tf * 22e-1 / (tf + 12e-1 * {_NORM}) + 5e-1",
+}
+
+
+def _post_sql(method: str = "lucene") -> str:
+    return f"""{_BASE},
+post as (select term, doc_id, ({_IDF_SQL[method]}) * ({_TF_SQL[method]}) as weight from tf join dfs using (term) join dls using (doc_id), stats)"""
+
+
+def _score_sql(post: str = "post", queries: str = "qterms", name: str = "scores") -> str:
+    return f"{name} as (select qid, doc_id, round(sum(q.weight * p.weight), 6) as score from {queries} q join {post} p using (term) group by 1, 2)"
+
+
+def _top_sql(source: str, name: str = "top", k: int = K, keys: str = "qid") -> str:
+    return f"{name} as (select * from (select *, row_number() over (partition by {keys} order by score desc, doc_id) as rank from {source}) where rank <= {k})"
+
+
+# ---- scalar text functions --------------------------------------------------------------------------------------
+
+
+@_query("text_clean", f"select doc_id, {_clean_sql('text')} as cleaned from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.clean_text(F.col("text")).alias("cleaned"))
+
+
+@_query("text_clean_light", "select doc_id, replace(text, '#N#', ' ') as cleaned from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.clean_light(F.col("text")).alias("cleaned"))
+
+
+def _url_sql(x: str) -> str:
+    out = f"lower({x})"
+    for part in text.URL_PARTS:
+        out = f"replace({out}, '{part}', '')"
+    pieces = f"string_split(trim(regexp_replace({out}, '{_SPACE}+', ' ', 'g')), ' ')"
+    return f"case when {x} is null or {x} = '' then '' when length({pieces}[-1]) >= 8 and regexp_matches({pieces}[-1], '[0-9]') then array_to_string({pieces}[:-2], ' ') else array_to_string({pieces}, ' ') end"
+
+
+@_query("url_clean", f"select doc_id, {_url_sql('url')} as cleaned from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.clean_url(F.col("url")).alias("cleaned"))
+
+
+_TRIMMED = f"regexp_replace(text, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+
+
+@_query("body_truncate", f"select doc_id, array_to_string(string_split({_TRIMMED}, ' ')[1:500], ' ') as body from documents")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.first_words(F.col("text")).alias("body"))
+
+
+@_query("field_concat", f"with {_BASE} select doc_id, concat_ws(' [SEP] ', {_url_sql('url')}, coalesce({_clean_sql('title')}, ''), coalesce({_clean_sql('body')}, '')) as combined from corpus")
+def _(spark, d):
+    c = corpus(spark, d)
+    return c.select("doc_id", text.joined_fields(text.clean_url(F.col("url")), text.clean_text(F.col("title")), text.clean_text(F.col("body"))).alias("combined"))
+
+
+def _fields():
+    return [text.terms(text.clean_text(F.col(c))) for c in ("url", "title", "body")]
+
+
+def _terms_sql(x: str) -> str:
+    return f"coalesce(regexp_extract_all(lower({_clean_sql(x)}), '{text.WORD}'), [])"
+
+
+_BUDGET_SQL = f"""with {_BASE}, f as (select doc_id, list_concat(['[CLS]'], ({_terms_sql('url')})[1:42], ['[SEP]'], ({_terms_sql('title')})[1:41], ['[SEP]']) as head, {_terms_sql('body')} as b from corpus),
+budget as (select doc_id, list_concat(head, b[1:greatest(128 - len(head) - 1, 0)], ['[SEP]']) as tokens from f)"""
+
+
+@_query("token_budget", _BUDGET_SQL + " select doc_id, len(tokens) as n_tokens, array_to_string(tokens, ' ') as tokens from budget")
+def _(spark, d):
+    t = text.budgeted_tokens(*_fields())
+    return corpus(spark, d).select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+
+
+@_query("token_truncate", f"with {_BASE} select doc_id, array_to_string(tokens[1:128], ' ') as tokens from tok")
+def _(spark, d):
+    return corpus_tokens(spark, d).select("doc_id", F.array_join(F.slice("tokens", 1, 128), " ").alias("tokens"))
+
+
+@_query("pad_mask", f"with {_BASE} select qid, array_to_string(list_resize(tokens[1:32], 32, '[PAD]'), ' ') as tokens, least(len(tokens), 32) as n_live from (select qid, {_terms_sql('text')} as tokens from qtexts)")
+def _(spark, d):
+    t = text.padded(text.terms(text.clean_text(F.col("text"))), 32)
+    live = F.aggregate(text.mask(t), F.lit(0), lambda a, x: a + x)
+    return query_texts(spark, d).select("qid", F.array_join(t, " ").alias("tokens"), live.cast("long").alias("n_live"))
+
+
+@_query("pad_to_longest", f"with {_BASE}, t as (select qid, {_terms_sql('text')} as tokens from qtexts) select qid, array_to_string(list_resize(tokens, (select max(len(tokens)) from t), '[PAD]'), ' ') as tokens from t")
+def _(spark, d):
+    t = query_texts(spark, d).select("qid", text.terms(text.clean_text(F.col("text"))).alias("tokens"))
+    longest = t.agg(F.max(F.size("tokens")).alias("longest"))
+    return t.crossJoin(F.broadcast(longest)).select("qid", F.array_join(F.concat("tokens", F.array_repeat(F.lit("[PAD]"), (F.col("longest") - F.size("tokens")).cast("int"))), " ").alias("tokens"))
+
+
+# ---- index statistics ---------------------------------------------------------------------------------------------
+
+
+@_query("term_freq", f"with {_BASE} select doc_id, term, tf from tf")
+def _(spark, d):
+    return index.term_frequencies(corpus_tokens(spark, d)).select("doc_id", "term", "tf")
+
+
+@_query("doc_freq", f"with {_BASE} select term, df from dfs")
+def _(spark, d):
+    return index.document_frequencies(index.term_frequencies(corpus_tokens(spark, d)))
+
+
+@_query("vocab_doc_freq", f"with {_BASE}, v as (select distinct term from qterms) select term, coalesce(df, 0) as df from v left join dfs using (term)")
+def _(spark, d):
+    return index.document_frequencies(index.term_frequencies(corpus_tokens(spark, d)), _queries(spark, d))
+
+
+@_query("doc_len", f"with {_BASE} select doc_id, dl from dls")
+def _(spark, d):
+    return corpus_tokens(spark, d).select("doc_id", F.col("dl").cast("long").alias("dl"))
+
+
+@_query("corpus_stats", f"with {_BASE} select n_docs, round(avgdl, 6) as avgdl from stats")
+def _(spark, d):
+    return index.corpus_stats(corpus_tokens(spark, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"))
+
+
+@_query("posting_hist", f"with {_BASE} select df as length, count(*) as n_terms from dfs group by 1")
+def _(spark, d):
+    return index.posting_lengths(index.term_frequencies(corpus_tokens(spark, d))).groupBy("length").agg(F.count("*").alias("n_terms"))
+
+
+@_query("stop_terms", f"with {_BASE} select term from dfs, stats where df > 1e-1 * n_docs")
+def _(spark, d):
+    tok, tf = _tok_tf(spark, d)
+    return index.stop_terms(tf, index.corpus_stats(tok), 0.1)
+
+
+@_query("term_ids", f"with {_BASE} select term, row_number() over (order by term) - 1 as term_id from (select distinct term from tf)")
+def _(spark, d):
+    return index.term_ids(index.term_frequencies(corpus_tokens(spark, d)))
+
+
+@_query("ignore_low_tokens", f"with {_BASE}, ids as (select term, row_number() over (order by term) - 1 as term_id from (select distinct term from tf)) select doc_id, term_id, tf from tf join ids using (term) where term_id >= 173")
+def _(spark, d):
+    _, tf = _tok_tf(spark, d)
+    return index.ignoring_low_ids(tf, index.term_ids(tf)).select("doc_id", "term_id", "tf")
+
+
+def _index_queries(method: str, name: str) -> None:
+    @_query(f"postings_{name}", f"with {_post_sql(method)} select term, doc_id, round(weight, 6) as weight from post")
+    def _(spark, d):
+        return _postings(spark, d, method)[1].select("term", "doc_id", F.round("weight", 6).alias("weight"))
+
+    @_query(f"bm25_topk_{name}", f"with {_post_sql(method)}, {_score_sql()}, pos as (select * from scores where score > 0), {_top_sql('pos')} select qid, rank, doc_id, score from top")
+    def _(spark, d):
+        return sparse.search(_queries(spark, d), _postings(spark, d, method)[1], K).select("qid", "rank", "doc_id", "score")
+
+
+for _m, _n in (("robertson", "robertson"), ("lucene", "lucene"), ("atire", "atire"), ("bm25l", "bm25l"), ("bm25+", "bm25plus")):
+    _index_queries(_m, _n)
+
+
+@_query("bm25_pinned_average", f"with {_BASE.replace('avg(dl) as avgdl', '124.9418149575661e0 as avgdl')}, post as (select term, doc_id, ({_IDF_SQL['lucene']}) * ({_TF_SQL['lucene']}) as weight from tf join dfs using (term) join dls using (doc_id), stats), {_score_sql()}, {_top_sql('scores')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    tok, tf = _tok_tf(spark, d)
+    return sparse.search(_queries(spark, d), index.postings(tok, tf, average=124.9418149575661), K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("bm25_threshold", f"with {_post_sql()}, {_score_sql()}, {_top_sql('(select * from scores where score > 5)')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    return sparse.search(_queries(spark, d), _postings(spark, d)[1], K, 5.0).select("qid", "rank", "doc_id", "score")
+
+
+@_query("bm25_pruned", f"with {_post_sql()}, kept as (select p.* from post p join dfs using (term), stats where df <= 1e-1 * n_docs), {_score_sql('kept')}, {_top_sql('scores')} select qid, rank, doc_id, score from top where score > 0")
+def _(spark, d):
+    tok, post = _postings(spark, d)
+    post = written(post, "postings")
+    return sparse.search(_queries(spark, d), index.without_terms(post, index.stop_terms(post, index.corpus_stats(tok), 0.1)), K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("posting_fetch", f"with {_post_sql()} select term, doc_id, round(weight, 6) as weight from post where term in (select term from qterms)")
+def _(spark, d):
+    return index.with_terms(_postings(spark, d)[1], _queries(spark, d)).select("term", "doc_id", F.round("weight", 6).alias("weight"))
+
+
+@_query("index_merge", f"with {_BASE} select term, count(*) as length, sum(tf)::bigint as total from tf group by 1")
+def _(spark, d):
+    tok = written(corpus_tokens(spark, d), "tokens")
+    shards = [index.term_frequencies(sampling.shard(tok, "doc_id", 5, i)) for i in range(5)]
+    return index.merged(*shards).groupBy("term").agg(F.count("*").alias("length"), F.sum("tf").alias("total"))
+
+
+@_query("index_packed", f"with {_post_sql()} select term, count(*) as length, min(doc_id) as first_doc, round(sum(weight), 4) as total from post where term not in (select term from dfs, stats where df > 1e-1 * n_docs) group by 1")
+def _(spark, d):
+    tok, post = _postings(spark, d)
+    post = written(post, "postings")
+    packed = index.packed(index.without_terms(post, index.stop_terms(post, index.corpus_stats(tok), 0.1)))
+    return packed.select("term", F.size("postings").cast("long").alias("length"), F.element_at("postings", 1)["doc_id"].alias("first_doc"), F.round(F.aggregate("postings", F.lit(0.0), lambda a, p: a + p["weight"]), 4).alias("total"))
+
+
+@_query("subset_search", f"with {_post_sql()}, sub as (select p.* from post p where doc_id in (select doc_id from judged)), {_score_sql('sub')}, {_top_sql('scores')} select qid, rank, doc_id, score from top where score > 0")
+def _(spark, d):
+    return sparse.search(_queries(spark, d), sampling.restrict(_postings(spark, d)[1], judged(spark, d), "doc_id"), K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("sharded_topk", f"with {_post_sql()}, {_score_sql()}, {_top_sql('scores')} select qid, rank, doc_id, score from top where score > 0")
+def _(spark, d):
+    post, q = written(_postings(spark, d)[1], "postings"), _queries(spark, d)
+    return sparse.merged_top_k([sparse.search(q, sampling.shard(post, "doc_id", 5, i), K) for i in range(5)], K).select("qid", "rank", "doc_id", "score")
+
+
+# ---- learned-sparse surrogate: tf as logit ------------------------------------------------------------------------
+
+
+@_query("doc_term_budget", f"with {_post_sql()}, r as (select doc_id, term, round(weight, 6) as weight, row_number() over (partition by doc_id order by round(weight, 6) desc, term) as rank from post where round(weight, 6) <> 0) select doc_id, term, weight, rank from r where rank <= 150")
+def _(spark, d):
+    post = _postings(spark, d)[1].withColumn("weight", F.round("weight", 6))
+    return sparse.term_budget(post, "doc_id", 150).select("doc_id", "term", "weight", "rank")
+
+
+@_query("query_term_budget", f"with {_BASE}, r as (select qid, term, weight, row_number() over (partition by qid order by weight desc, term) as rank from qterms) select qid, term, weight, rank from r where rank <= 32")
+def _(spark, d):
+    return sparse.term_budget(_queries(spark, d), "qid", 32).select("qid", "term", "weight", "rank")
+
+
+def _logits(spark, d) -> DataFrame:
+    """A stand-in for a model's token-level logits: word length minus 4, per position."""
+    return corpus_tokens(spark, d).select("doc_id", F.posexplode("tokens").alias("pos", "term")).withColumn("logit", (F.length("term") - 4).cast("double"))
+
+
+_LOGITS_SQL = f"with {_BASE}, logits as (select doc_id, term, ln(1 + greatest(length(term) - 4, 0)::double) as w from (select doc_id, unnest(tokens) as term from tok))"
+
+
+def _pool_query(how: str, sql: str) -> None:
+    @_query(f"sparse_pool_{how}", f"{_LOGITS_SQL} select doc_id, term, round({sql}, 6) as weight from logits join dls using (doc_id) group by doc_id, term, dl")
+    def _(spark, d):
+        return sparse.pooled(_logits(spark, d), how).select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
+for _h, _s in (("sum", "sum(w)"), ("max", "max(w)"), ("mean", "sum(w) / dl")):
+    _pool_query(_h, _s)
+
+_SPARSE_SQL = f"{_LOGITS_SQL}, post as (select doc_id, term, max(w) as weight from logits group by 1, 2), {_score_sql()}, {_top_sql('(select * from scores where score > 0)')}"
+
+
+@_query("sparse_search", f"{_SPARSE_SQL} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    post = sparse.pooled(_logits(spark, d), "max").filter("weight <> 0")
+    return sparse.search(_queries(spark, d), post, K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("vocab_weighting", f"with {_BASE} select doc_id, term, tf * case when term in (select term from dfs, stats where df > 1e-1 * n_docs) then 0e0 else 1e0 end as weight from tf")
+def _(spark, d):
+    tok, tf = _tok_tf(spark, d)
+    stop = index.stop_terms(tf, index.corpus_stats(tok), 0.1).withColumn("term_weight", F.lit(0.0))
+    return sparse.weighted_terms(tf.select("doc_id", "term", F.col("tf").cast("double").alias("weight")), stop).select("doc_id", "term", "weight")
+
+
+@_query("token_decode", f"with {_BASE} select doc_id, array_to_string(tokens, ' ') as text from tok where len(tokens) > 0")
+def _(spark, d):
+    tok = written(corpus_tokens(spark, d), "tokens")
+    ids = index.term_ids(tok.select(F.explode("tokens").alias("term")))
+    coded = tok.select("doc_id", F.posexplode("tokens").alias("pos", "term")).join(ids, "term").select("doc_id", "pos", "term_id")
+    return sparse.decoded(coded, ids, "doc_id")
+
+
+@_query("reg_flops", f"with {_post_sql()} select round(sum(m * m), 6) as flops from (select term, sum(abs(weight)) / any_value(n_docs) as m from post, stats group by 1)")
+def _(spark, d):
+    tok, post = _postings(spark, d)
+    return metrics.flops(post, index.corpus_stats(tok))
+
+
+# ---- dense ----------------------------------------------------------------------------------------------------------
+
+_EMB = f"emb as (select vec_id as doc_id, embedding::double[] as v, label from embeddings), eq as (select doc_id as qid, v as qv from emb where doc_id % {QUERY_STEP} = 0)"
+_DOT = "list_dot_product(qv, v)"
+_SQ = "list_sum(list_transform(list_zip(qv, v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_METRIC_SQL = {"dot": _DOT, "reciprocal": f"1e0 / (1e-6 + {_SQ})", "opposite": f"-({_SQ})"}
+
+
+def _dense_query(metric: str, name: str) -> None:
+    @_query(f"dense_{name}_topk", f"with {_EMB}, scores as (select qid, doc_id, round({_METRIC_SQL[metric]}, {3 if metric == 'reciprocal' else 6}) as score from eq, emb), {_top_sql('scores')} select qid, rank, doc_id, score from top")
+    def _(spark, d):
+        return dense.knn_exact(_emb_queries(spark, d), _emb(spark, d), K, metric, 3 if metric == "reciprocal" else 6).select("qid", "rank", "doc_id", "score")
+
+
+_dense_query("dot", "exact")
+_dense_query("opposite", "opp")
+
+
+@_query("dense_rep_topk", f"with {_EMB}, scores as (select qid, doc_id, round({_METRIC_SQL['reciprocal']}, 6) as score from eq, emb where qid <> doc_id), {_top_sql('scores')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    # the query itself is left out: at distance 0 the reciprocal is 1e6 and only rounding would differ
+    found = dense.knn_exact(_emb_queries(spark, d), _emb(spark, d), K + 1, "reciprocal")
+    return top_k(found.filter("qid <> doc_id").drop("rank"), ["qid"], "score", "doc_id", K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("dense_sharded_topk", f"with {_EMB}, scores as (select qid, doc_id, round({_DOT}, 6) as score from eq, emb), {_top_sql('scores')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    e, q = _emb(spark, d), _emb_queries(spark, d)
+    return sparse.merged_top_k([dense.knn_exact(q, sampling.shard(e, "doc_id", 4, i), K) for i in range(4)], K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("mips_to_l2_docs", f"with {_EMB}, s as (select doc_id, list_transform(v, lambda x: x * (1e0 + doc_id % 7)) as v from emb), n as (select doc_id, list_dot_product(v, v) as n2 from s) select doc_id, round(sqrt(greatest((select max(n2) from n) - n2, 0)), 3) as extra, 65::bigint as dim from n")
+def _(spark, d):
+    # the table's vectors have unit length; scaling them by id gives the operator something to do
+    scaled = _emb(spark, d).select("doc_id", F.transform("vector", lambda x: x.cast("double") * (F.lit(1.0) + F.pmod("doc_id", F.lit(7)))).alias("vector"))
+    out = dense.mips_to_l2(scaled, "document")
+    return out.select("doc_id", F.round(F.element_at("augmented", 1), 3).alias("extra"), F.size("augmented").cast("long").alias("dim"))
+
+
+@_query("mips_to_l2_queries", f"with {_EMB} select qid, 0e0 as extra, 65::bigint as dim, round(list_sum(qv), 6) as total from eq")
+def _(spark, d):
+    out = dense.mips_to_l2(_emb_queries(spark, d), "query")
+    return out.select("qid", F.element_at("augmented", 1).alias("extra"), F.size("augmented").cast("long").alias("dim"), F.round(F.aggregate("augmented", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+@_query("max_norm", f"with {_EMB} select round(max(list_dot_product(v, v)), 6) as largest from emb")
+def _(spark, d):
+    return dense.largest_squared_norm(_emb(spark, d)).select(F.round("largest", 6).alias("largest"))
+
+
+@_query("embedding_reorder", f"with {_EMB} select row_number() over (order by md5(doc_id::varchar)) - 1 as pos, doc_id, round(v[1], 6) as first from emb")
+def _(spark, d):
+    from fusemill.operators.ranking import running_total
+
+    e = _emb(spark, d)
+    keyed = e.select("doc_id", F.lit(0).alias("g"), F.md5(F.col("doc_id").cast("string")).alias("digest"))
+    order = running_total(keyed, ["g"], "digest", F.lit(1), "n").select((F.col("n") - 1).cast("long").alias("pos"), "doc_id")
+    return dense.reordered(e, order, "doc_id").select("pos", "doc_id", F.round(F.element_at("vector", 1).cast("double"), 6).alias("first"))
+
+
+def _token_vectors(spark, d) -> DataFrame:
+    """A stand-in for token-level outputs: the vectors of a label are the tokens of one document, one in five masked."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("label").orderBy("doc_id")) - 1
+    e = _emb(spark, d).withColumn("pos", place)
+    return e.select(F.col("label").cast("long").alias("doc_id"), "pos", F.when(F.pmod("pos", F.lit(5)) == 4, 0).otherwise(1).alias("mask"), "vector")
+
+
+_POOL_BASE = f"with {_EMB}, t as (select label::bigint as doc_id, row_number() over (partition by label order by doc_id) - 1 as pos, v from emb), live as (select * from t where pos % 5 <> 4)"
+
+
+def _dense_pool(how: str, sql: str) -> None:
+    @_query(f"dense_pool_{how}", f"{_POOL_BASE} {sql}")
+    def _(spark, d):
+        out = dense.pooled_vectors(_token_vectors(spark, d), how)
+        return out.select("doc_id", F.posexplode("vector").alias("dim", "x")).select("doc_id", F.col("dim").cast("long").alias("dim"), F.round(F.col("x").cast("double"), 6).alias("x"))
+
+
+_UNNEST = "select doc_id, unnest(range(64))::bigint as dim, round(unnest(v), 6) as x from"
+_dense_pool("cls", f"{_UNNEST} (select doc_id, arg_min(v, pos) as v from live group by 1)")
+_dense_pool("eos", f"{_UNNEST} (select doc_id, arg_max(v, pos) as v from live group by 1)")
+_dense_pool("mean", "select doc_id, dim, round(avg(x), 6) as x from (select doc_id, unnest(range(64))::bigint as dim, unnest(v) as x from live) group by 1, 2")
+
+# ---- approximate search -----------------------------------------------------------------------------------------------
+
+_ANN = f"""{_EMB}, heads as (select doc_id as cluster_id, v as c from emb where doc_id % 10 = 0),
+assigned as (select doc_id, cluster_id from (select doc_id, cluster_id, row_number() over (partition by doc_id order by round(list_dot_product(v, c), 6) desc, cluster_id) as r from emb, heads) where r <= 8),
+probed as (select qid, cluster_id, s as cluster_score, r as probe_rank from (select qid, cluster_id, round(list_dot_product(qv, c), 6) as s, row_number() over (partition by qid order by round(list_dot_product(qv, c), 6) desc, cluster_id) as r from eq, heads) where r <= {PROBED}),
+cand as (select distinct qid, doc_id from probed join assigned using (cluster_id)),
+scores as (select qid, doc_id, round({_DOT}, 6) as score from cand join emb using (doc_id) join eq using (qid))"""
+
+
+def _ann_parts(spark, d):
+    e = _emb(spark, d)
+    head = ann.heads(e)
+    return e, _emb_queries(spark, d), head, written(ann.assign(e, head), "clusters")
+
+
+@_query("ann_heads", f"with {_ANN} select cluster_id, round(c[1], 6) as first from heads")
+def _(spark, d):
+    return ann.heads(_emb(spark, d)).select("cluster_id", F.round(F.element_at("centroid", 1).cast("double"), 6).alias("first"))
+
+
+@_query("ann_assign", f"with {_ANN} select cluster_id, doc_id from assigned")
+def _(spark, d):
+    e = _emb(spark, d)
+    return ann.assign(e, ann.heads(e))
+
+
+@_query("cluster_postings", f"with {_ANN} select cluster_id, count(*) as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc from assigned group by 1")
+def _(spark, d):
+    clusters = _ann_parts(spark, d)[3]
+    return clusters.groupBy("cluster_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+
+
+@_query("ann_probe", f"with {_ANN} select qid, probe_rank, cluster_id, cluster_score from probed")
+def _(spark, d):
+    return ann.probe(_emb_queries(spark, d), ann.heads(_emb(spark, d)), PROBED)
+
+
+@_query("ann_similarity", f"with {_ANN}, s as (select qid, cluster_id, round(1e0 / (1e0 + {_SQ.replace(' v)', ' c)')}), 6) as score from eq, heads) select qid, cluster_id, score from s")
+def _(spark, d):
+    q, h = _emb_queries(spark, d), ann.heads(_emb(spark, d))
+    both = q.crossJoin(F.broadcast(h)) if h.count() <= 100_000 else q.crossJoin(h)
+    return both.select("qid", "cluster_id", F.round(vectors.distance_similarity(vectors.squared_distance(F.col("vector"), F.col("centroid"))), 6).alias("score"))
+
+
+@_query("ann_search", f"with {_ANN}, {_top_sql('scores')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    e, q, head, clusters = _ann_parts(spark, d)
+    return ann.search_ann(q, e, head, clusters, PROBED, K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("ann_recall", f"with {_ANN}, {_top_sql('scores')}, full_scores as (select qid, doc_id, round({_DOT}, 6) as score from eq, emb), {_top_sql('full_scores', 'exact')} select round(avg(case when top.doc_id is null then 0e0 else 1e0 end), 6) as recall from exact left join top using (qid, doc_id)")
+def _(spark, d):
+    e, q, head, clusters = _ann_parts(spark, d)
+    found = ann.search_ann(q, e, head, clusters, PROBED, K).select("qid", "doc_id", F.lit(1.0).alias("hit"))
+    return dense.knn_exact(q, e, K).join(found, ["qid", "doc_id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0.0))), 6).alias("recall"))
+
+
+@_query("ann_kmeans_search")
+def _(spark, d):
+    e, q = _emb(spark, d), _emb_queries(spark, d)
+    head = ann.kmeans_heads(e, 32)
+    return ann.search_ann(q, e, head, ann.assign(e, head, 2), PROBED, K)
+
+
+# ---- hybrid: the text of id i and the vector of id i, joined on ids present in both tables -----------------------------
+
+_HYB = f"""hdocs as (select vec_id as doc_id, regexp_extract_all(lower({_clean_sql('d.text')}), '{text.WORD}') as tokens from embeddings join (select row_number() over (order by doc_id) - 1 as vec_id, text from documents) d using (vec_id)),
+htf as (select doc_id, term, count(*)::double as weight from (select doc_id, unnest(tokens) as term from hdocs) group by 1, 2),
+hq as (select doc_id as qid, term, weight from htf where doc_id % {QUERY_STEP} = 0),
+{_score_sql('htf', 'hq', 'sp')}"""
+
+
+def _hybrid_parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Sparse scores (shared terms, tf products) and vectors of the same ids: the i-th document by id has vector i."""
+    from fusemill.operators.ranking import running_total
+
+    docs = table(spark, d, "documents").select("doc_id", "text", F.lit(0).alias("g"))
+    numbered = running_total(docs, ["g"], "doc_id", F.lit(1), "n").select((F.col("n") - 1).cast("long").alias("doc_id"), "text")
+    tok = index.tokens(sampling.restrict(numbered, _emb(spark, d), "doc_id"), "doc_id", text.terms(text.clean_text(F.col("text"))))
+    tf = written(index.term_frequencies(tok).select("doc_id", "term", F.col("tf").cast("double").alias("weight")), "hybrid_tf")
+    queries = tf.filter(F.pmod("doc_id", F.lit(QUERY_STEP)) == 0).select(F.col("doc_id").alias("qid"), "term", "weight")
+    return written(sparse.match(queries, tf), "hybrid_sparse"), tf
+
+
+@_query("hybrid_search", f"with {_ANN}, {_HYB}, fused as (select qid, doc_id, round(1e0 * sp.score + 100e0 * scores.score, 4) as score from sp join scores using (qid, doc_id)), {_top_sql('fused')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    s, _ = _hybrid_parts(spark, d)
+    e, q, head, clusters = _ann_parts(spark, d)
+    dn = ann.rescored(ann.candidates(ann.probe(q, head, PROBED), clusters), q, e)
+    return top_k(hybrid.fuse(s, dn, 1.0, 100.0, digits=4), ["qid"], "score", "doc_id", K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("hybrid_outer", f"with {_ANN}, {_HYB}, fused as (select qid, doc_id, round(coalesce(sp.score, 0) + 100e0 * coalesce(scores.score, 0), 4) as score from sp full outer join scores using (qid, doc_id)), {_top_sql('fused')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    s, _ = _hybrid_parts(spark, d)
+    e, q, head, clusters = _ann_parts(spark, d)
+    dn = ann.rescored(ann.candidates(ann.probe(q, head, PROBED), clusters), q, e)
+    return top_k(hybrid.fuse(s, dn, 1.0, 100.0, "full_outer", 4), ["qid"], "score", "doc_id", K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("hybrid_weight_grid", f"with {_ANN}, {_HYB}, w as (select unnest([1e0, 1e0, 2e0]) as sparse_weight, unnest([1e0, 100e0, 10e0]) as dense_weight), fused as (select sparse_weight, dense_weight, qid, doc_id, round(sparse_weight * sp.score + dense_weight * scores.score, 6) as score from sp join scores using (qid, doc_id), w), {_top_sql('fused', keys='sparse_weight, dense_weight, qid')} select sparse_weight, dense_weight, qid, rank, doc_id, score from top")
+def _(spark, d):
+    s, _ = _hybrid_parts(spark, d)
+    e, q, head, clusters = _ann_parts(spark, d)
+    dn = ann.rescored(ann.candidates(ann.probe(q, head, PROBED), clusters), q, e)
+    weights = spark.createDataFrame([(1.0, 1.0), (1.0, 100.0), (2.0, 10.0)], "sparse_weight double, dense_weight double")
+    return hybrid.weight_grid(s, dn, weights, K).select("sparse_weight", "dense_weight", "qid", "rank", "doc_id", "score")
+
+
+@_query("hybrid_cluster_score", f"with {_ANN}, {_HYB}, cs as (select qid, doc_id, arg_max(cluster_score, probe_rank) as score from probed join assigned using (cluster_id) group by 1, 2), fused as (select qid, doc_id, round(sp.score + 100e0 * cs.score, 4) as score from sp join cs using (qid, doc_id)), {_top_sql('fused')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    s, _ = _hybrid_parts(spark, d)
+    _, q, head, clusters = _ann_parts(spark, d)
+    return top_k(hybrid.fuse(s, ann.cluster_scored(ann.probe(q, head, PROBED), clusters), 1.0, 100.0, digits=4), ["qid"], "score", "doc_id", K).select("qid", "rank", "doc_id", "score")
+
+
+@_query("hybrid_intersection", f"with {_ANN}, {_HYB} select qid, count(*) as n_common from sp join scores using (qid, doc_id) group by 1")
+def _(spark, d):
+    s, _ = _hybrid_parts(spark, d)
+    e, q, head, clusters = _ann_parts(spark, d)
+    return s.select("qid", "doc_id").intersect(ann.candidates(ann.probe(q, head, PROBED), clusters)).groupBy("qid").agg(F.count("*").alias("n_common"))
+
+
+# ---- evaluation --------------------------------------------------------------------------------------------------------
+
+_FIRST = f"with {_post_sql()}, {_score_sql()}, {_top_sql('scores', 'ranking', DEPTH)}, firsts as (select qid, min(rank) as first from ranking join judged using (qid, doc_id) group by 1)"
+
+
+def _metric_sql(base: str, cutoffs=metrics.CUTOFFS) -> str:
+    cols = ", ".join(f"round(avg(case when first <= {k} then 1e0 else 0e0 end), 6) as success_{k}" for k in cutoffs)
+    return f"{_FIRST} select round(avg(case when first <= 10 then 1e0 / first else 0e0 end), 6) as mrr_10, {cols}, round(avg(case when first is not null then 1e0 else 0e0 end), 6) as success_all, count(*) as n_queries from (select distinct qid from {base}) left join firsts using (qid)"
+
+
+def _ranking(spark, d) -> DataFrame:
+    return sparse.search(_queries(spark, d), _postings(spark, d)[1], DEPTH)
+
+
+@_query("metrics_ranked_denominator", _metric_sql("ranking"))
+def _(spark, d):
+    return metrics.evaluate(_ranking(spark, d), judged(spark, d), "ranked")
+
+
+@_query("metrics_qrels_denominator", _metric_sql("judged", (1, 5, 10, 20)))
+def _(spark, d):
+    return metrics.evaluate(_ranking(spark, d), judged(spark, d), "judged", (1, 5, 10, 20))
+
+
+@_query("qrels_grouped", f"with {_BASE} select qid, count(*) as n, array_to_string(list_sort(list(doc_id)), ',') as pids from judged group by 1")
+def _(spark, d):
+    return judged(spark, d).groupBy("qid").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("doc_id")), ",").alias("pids"))
+
+
+def _similarity(spark, d) -> DataFrame:
+    """(qid, doc_id, score) of every query vector with every vector, from the matrix path."""
+    e = _emb(spark, d)
+    return dense.knn_exact(_emb_queries(spark, d), e, e.count(), digits=9)
+
+
+@_query("infonce", f"with {_EMB}, sim as (select qid, doc_id, round({_DOT}, 9) / 5e-2 as s from eq, emb), m as (select qid, ln(sum(exp(s))) as lse, max(s) filter (where doc_id = qid) as good from sim group by 1) select round(avg(lse - good), 6) as loss from m")
+def _(spark, d):
+    return metrics.info_nce(_similarity(spark, d).withColumn("positive", F.col("qid") == F.col("doc_id")), 0.05)
+
+
+_DISTILL = f"with {_EMB}, sim as (select qid, doc_id, round({_DOT}, 9) as teacher, (doc_id % 10) / 1e1 as student from eq, emb), z as (select qid, ln(sum(exp(teacher))) as lt, ln(sum(exp(student))) as ls from sim group by 1), per as (select qid, sum(exp(teacher - lt) * ((teacher - lt) - (student - ls))) as kl, sum(-exp(teacher - lt) * (student - ls)) as ce, sum(exp(student - ls) * ((student - ls) - (teacher - lt))) as kl2 from sim join z using (qid) group by 1)"
+
+
+def _teacher_student(spark, d) -> DataFrame:
+    return _similarity(spark, d).select("qid", "doc_id", F.col("score").alias("teacher"), (F.pmod("doc_id", F.lit(10)) / F.lit(10.0)).alias("student"))
+
+
+@_query("distill", f"{_DISTILL} select round(avg(kl), 6) as kl, round(avg(ce), 6) as ce from per")
+def _(spark, d):
+    return metrics.distillation(_teacher_student(spark, d))
+
+
+@_query("mutual_regularisation", f"{_DISTILL} select round(avg(kl), 6) as d2s, round(avg(kl2), 6) as s2d, round(round(avg(kl), 6) + round(avg(kl2), 6), 6) as \"both\" from per")
+def _(spark, d):
+    return metrics.mutual_regularisation(_teacher_student(spark, d).select("qid", "doc_id", F.col("teacher").alias("sparse"), F.col("student").alias("dense")))
+
+
+@_query("joint_score_loss", f"with {_EMB}, sim as (select qid, doc_id, 5e-1 * round({_DOT}, 9) + 2e0 * ((doc_id % 10) / 1e1) as s from eq, emb), m as (select qid, ln(sum(exp(s))) as lse, max(s) filter (where doc_id = qid) as good from sim group by 1) select round(avg(lse - good), 6) as loss from m")
+def _(spark, d):
+    both = _teacher_student(spark, d).select("qid", "doc_id", scoring.fused(F.col("student"), F.col("teacher"), 2.0, 0.5).alias("score"), (F.col("qid") == F.col("doc_id")).alias("positive"))
+    return metrics.info_nce(both)
+
+
+@_query("lambda_schedule", "select qid, round(5e-2 * pow(least(qid, 5000) / 5e3, 2), 9) as lambda from (select distinct qid from queries where qid is not null)")
+def _(spark, d):
+    q = table(spark, d, "queries").select("qid").filter("qid is not null").distinct()
+    return q.select("qid", F.round(scoring.quadratic_schedule(F.col("qid"), 0.05, 5000), 9).alias("lambda"))
+
+
+# ---- sampling, restriction, remapping, sources ---------------------------------------------------------------------------
+
+_SAMPLE = f"with {_BASE}, s as (select doc_id from corpus order by md5(doc_id::varchar), doc_id limit cast(floor((select count(*) from corpus) * 1e-1) as bigint))"
+
+
+@_query("sample_corpus", f"{_SAMPLE} select doc_id from s union select doc_id from judged")
+def _(spark, d):
+    return sampling.sample_corpus(corpus(spark, d), judged(spark, d), "doc_id", 0.1)
+
+
+@_query("sample_overlap", f"{_SAMPLE} select count(*) as n_overlap from s where doc_id in (select doc_id from judged)")
+def _(spark, d):
+    return sampling.restrict(sampling.sample_ids(corpus(spark, d), "doc_id", 0.1), judged(spark, d), "doc_id").agg(F.count("*").alias("n_overlap"))
+
+
+@_query("shard_slices", f"with {_BASE} select doc_id % 8 as shard, count(*) as n, min(doc_id) as first from corpus group by 1")
+def _(spark, d):
+    c = written(corpus(spark, d).select("doc_id"), "ids")
+    parts = [sampling.shard(c, "doc_id", 8, i).agg(F.lit(i).cast("long").alias("shard"), F.count("*").alias("n"), F.min("doc_id").alias("first")) for i in range(8)]
+    return index.merged(*parts).filter("n > 0")
+
+
+@_query("id_remap", "select v.vec_id, min(m.doc_id) as doc_id from doc_vectors v join (select try_cast(trim(row_idx) as bigint) as ord, doc_id from idmapping) m on m.ord = v.row_idx where m.doc_id is not null group by 1")
+def _(spark, d):
+    ids = table(spark, d, "idmapping").select(references.ordinal(F.col("row_idx")).alias("row_idx"), "doc_id").filter("doc_id is not null")
+    return table(spark, d, "doc_vectors").select("vec_id", "row_idx").join(ids, "row_idx").groupBy("vec_id").agg(F.min("doc_id").alias("doc_id"))
+
+
+@_query("missing_upsert", f"with {_BASE} select doc_id, lang from corpus where doc_id not in (select doc_id from judged) union all select doc_id, 'judged' from corpus where doc_id in (select doc_id from judged)")
+def _(spark, d):
+    c = corpus(spark, d).select("doc_id", "lang")
+    return sampling.upsert(c, sampling.restrict(c, judged(spark, d), "doc_id").withColumn("lang", F.lit("judged")), "doc_id")
+
+
+@_query("ranking_merge", f"with best as (select run_id, qid, doc_id, max(score)::double as score from rankings where score is not null and not isnan(score) and doc_id is not null group by 1, 2, 3), {_top_sql('best', k=20, keys='run_id, qid')} select run_id, qid, rank, doc_id, score from top")
+def _(spark, d):
+    rows = table(spark, d, "rankings").filter("score is not null and not isnan(score) and doc_id is not null")
+    best = rows.groupBy("run_id", "qid", "doc_id").agg(F.max("score").cast("double").alias("score"))
+    return top_k(best, ["run_id", "qid"], "score", "doc_id", 20).select("run_id", "qid", "rank", "doc_id", "score")
+
 
-QUERIES = {**references.QUERIES}
-ORACLES = {**references.ORACLES}
+@_query("ranking_metrics", f"with {_BASE}, best as (select run_id, qid, doc_id, max(score) as score from rankings where score is not null and not isnan(score) and doc_id is not null group by 1, 2, 3), {_top_sql('best', k=DEPTH, keys='run_id, qid')}, firsts as (select run_id, qid, min(rank) filter (where j.doc_id is not null) as first from top left join judged j using (qid, doc_id) group by 1, 2) select run_id, round(avg(case when first <= 10 then 1e0 / first else 0e0 end), 6) as mrr_10, count(*) as n_queries from firsts group by 1")
+def _(spark, d):
+    rows = table(spark, d, "rankings").filter("score is not null and not isnan(score) and doc_id is not null")
+    top = top_k(rows.groupBy("run_id", "qid", "doc_id").agg(F.max("score").alias("score")), ["run_id", "qid"], "score", "doc_id", DEPTH)
+    hits = top.join(judged(spark, d).withColumn("hit", F.lit(True)), ["qid", "doc_id"], "left")
+    firsts = hits.groupBy("run_id", "qid").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
+    return firsts.groupBy("run_id").agg(F.round(F.avg(F.when(F.col("first") <= 10, F.lit(1.0) / F.col("first")).otherwise(0.0)), 6).alias("mrr_10"), F.count("*").alias("n_queries"))
