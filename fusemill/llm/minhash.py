@@ -131,8 +131,13 @@ def pairs_of_members(members: DataFrame, links: DataFrame, key: str) -> DataFram
 
 
 def groups_of_members(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """(key, group_id, n_links): group_id is the least key of the records joined by chains of links, n_links the links of the record's classes."""
-    roots = connected_components(links, "a", "b")
+    """(key, group_id, n_links): group_id is the least key of the records joined by chains of links, n_links the links of the record's classes.
+
+    A key with several texts belongs to the groups of all of them, which are then one group.
+    """
+    least_cls = members.groupBy(key).agg(F.min("cls").alias("a"))
+    own = members.join(least_cls, key).filter("cls <> a").select("a", F.col("cls").alias("b"))
+    roots = connected_components(links.select("a", "b").unionByName(own), "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("n_links"))
     named = members.join(roots.withColumnRenamed("node", "cls"), "cls", "left").join(degree, "cls", "left").select(key, F.coalesce("root", "cls").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     least = named.groupBy("root").agg(F.min(key).alias("group_id"))
