@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusemill.llm.components import connected_components
@@ -53,6 +53,17 @@ def superminhash(offsets: np.ndarray, elements: np.ndarray, m: int) -> np.ndarra
     return best.reshape(n, m)
 
 
+def one_bit_sketch(signature: np.ndarray) -> np.ndarray:
+    """(texts, 4) int64: one bit of each of the first 256 signature values."""
+    bit = (mix(signature[:, :256]) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bit, axis=1).view(np.int64)
+
+
+def differing_bits(a: str, b: str) -> Column:
+    """Bits in which the sketches s0..s3 of two aliased tables differ."""
+    return sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(4)), F.lit(0))
+
+
 def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(cls, n, s0..s3, key): one row per text class and band; s0..s3 are 256 one-bit signature values."""
 
@@ -69,8 +80,7 @@ def band_rows(classes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
                 for r in range(rows):
                     key = mix(key * np.uint64(31) + signature[:, r::rows] + _GOLDEN)
                 key = mix(key + np.arange(bands, dtype=np.uint64) * _GOLDEN)
-                bit = (mix(signature[:, :256]) & np.uint64(1)).astype(np.uint8)
-                packed = np.packbits(bit, axis=1).view(np.int64)
+                packed = one_bit_sketch(signature)
                 row = np.repeat(np.arange(len(signature)), bands)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), *[pa.array(packed[row, i]) for i in range(4)], pa.array(key.ravel().view(np.int64))],
@@ -93,8 +103,7 @@ def candidate_pairs(banded: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     mine = mine.withColumn("other", F.explode(F.when(F.col("blocks") > 1, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0)))))
     mine = mine.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     a, b = mine.alias("a"), mine.alias("b")
-    bits = sum((F.bit_count(F.col(f"a.s{i}").bitwiseXOR(F.col(f"b.s{i}"))) for i in range(4)), F.lit(0))
-    near = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * overlap) & (bits <= MOST_BITS)
+    near = (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * overlap) & (differing_bits("a", "b") <= MOST_BITS)
     met = (F.col("a.key") == F.col("b.key")) & (F.col("a.low") == F.col("b.low")) & (F.col("a.high") == F.col("b.high")) & (F.col("a.cls") < F.col("b.cls"))
     return a.join(b, met & near).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
 
