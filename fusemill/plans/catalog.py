@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusemill.functions import scoring, text, vectors
-from fusemill.operators import ann, dense, hybrid, index, metrics, references, sampling, sparse
+from fusemill.operators import ann, dense, encoders, hybrid, index, metrics, references, sampling, sparse
 from fusemill.operators.ranking import top_k
 from fusemill.runtime import spread, table, written
 
@@ -705,3 +705,51 @@ def _(spark, d):
     hits = top.join(judged(spark, d).withColumn("hit", F.lit(True)), ["qid", "doc_id"], "left")
     firsts = hits.groupBy("run_id", "qid").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"))
     return firsts.groupBy("run_id").agg(F.round(F.avg(F.when(F.col("first") <= 10, F.lit(1.0) / F.col("first")).otherwise(0.0)), 6).alias("mrr_10"), F.count("*").alias("n_queries"))
+
+
+@_query("query_lookup", f"with {_BASE} select j.qid, j.doc_id, length(q.text) as query_chars, length(c.body) as body_chars from judged j join qtexts q using (qid) join corpus c using (doc_id)")
+def _(spark, d):
+    pairs = judged(spark, d).join(query_texts(spark, d), "qid").join(corpus(spark, d), "doc_id")
+    return pairs.select("qid", "doc_id", F.length("text").cast("long").alias("query_chars"), F.length("body").cast("long").alias("body_chars"))
+
+
+@_query("udtf_tokens", f"with {_BASE}, q as (select qid, list_transform(regexp_extract_all(lower(text), '{text.WORD}'), x -> x) as t from qtexts) select qid, unnest(range(len(t))) as pos, unnest(t) as term from q")
+def _(spark, d):
+    encoders.register_tokenize(spark)
+    query_texts(spark, d).createOrReplaceTempView("_fusemill_queries")
+    return spark.sql("SELECT q.qid, CAST(t.pos AS BIGINT) AS pos, t.term FROM _fusemill_queries q, LATERAL tokenize(q.text) t")
+
+
+@_query("training_examples", f"with {_BASE}, c as (select doc_id, concat_ws(' ', title, body) as text from corpus) select j.qid, j.doc_id, length(q.text) as query_chars, length(c.text) as text_chars, true as positive from judged j join qtexts q using (qid) join c using (doc_id)")
+def _(spark, d):
+    ex = judged(spark, d).groupBy("qid").agg(F.collect_list("doc_id").alias("positives")).withColumn("negatives", F.array().cast("array<bigint>"))
+    texts = corpus(spark, d).select("doc_id", F.concat_ws(" ", "title", "body").alias("text"))
+    out = encoders.training_examples(ex, query_texts(spark, d), texts, 4)
+    return out.select("qid", "doc_id", F.length("query").cast("long").alias("query_chars"), F.length("text").cast("long").alias("text_chars"), "positive")
+
+
+@_query("negative_sampling")
+def _(spark, d):
+    ranked = top_k(table(spark, d, "rankings").filter("doc_id is not null and not isnan(score)").groupBy("qid", "doc_id").agg(F.max("score").alias("score")), ["qid"], "score", "doc_id", DEPTH)
+    hard = ranked.join(judged(spark, d), ["qid", "doc_id"], "left_anti").groupBy("qid").agg(F.collect_list("doc_id").alias("negatives"))
+    return sampling.negatives(hard, 8)
+
+
+@_query("lsh_search")
+def _(spark, d):
+    return encoders.lsh_search(_emb_queries(spark, d), _emb(spark, d), K)
+
+
+@_query("encode_hashed")
+def _(spark, d):
+    out = encoders.encoded(query_texts(spark, d), "qid", "text", encoders.hashed_encoder)
+    return out.select("qid", F.size("vector").cast("long").alias("dim"), F.round(vectors.squared_norm(F.col("vector")), 4).alias("norm2"))
+
+
+@_query("index_roundtrip", f"with {_post_sql()} select term, count(*) as length, round(sum(weight), 4) as total from post group by 1")
+def _(spark, d):
+    from fusemill.runtime import shared_dir
+
+    path = f"{shared_dir(spark)}/index-{abs(hash(d)) % 10**9}"
+    index.save(_postings(spark, d)[1], path)
+    return spark.read.schema("term string, doc_id bigint, weight double").parquet(path).groupBy("term").agg(F.count("*").alias("length"), F.round(F.sum("weight"), 4).alias("total"))
