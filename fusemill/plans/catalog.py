@@ -707,13 +707,13 @@ def _(spark, d):
     return firsts.groupBy("run_id").agg(F.round(F.avg(F.when(F.col("first") <= 10, F.lit(1.0) / F.col("first")).otherwise(0.0)), 6).alias("mrr_10"), F.count("*").alias("n_queries"))
 
 
-@_query("query_lookup", f"with {_BASE} select j.qid, j.doc_id, length(q.text) as query_chars, length(c.body) as body_chars from judged j join qtexts q using (qid) join corpus c using (doc_id)")
+@_query("query_lookup", f"with {_BASE} select j.qid, j.doc_id, length(q.text) as query_chars, coalesce(length(c.body), 0) as body_chars from judged j join qtexts q using (qid) join corpus c using (doc_id)")
 def _(spark, d):
     pairs = judged(spark, d).join(query_texts(spark, d), "qid").join(corpus(spark, d), "doc_id")
-    return pairs.select("qid", "doc_id", F.length("text").cast("long").alias("query_chars"), F.length("body").cast("long").alias("body_chars"))
+    return pairs.select("qid", "doc_id", F.length("text").cast("long").alias("query_chars"), F.coalesce(F.length("body"), F.lit(0)).cast("long").alias("body_chars"))
 
 
-@_query("udtf_tokens", f"with {_BASE}, q as (select qid, list_transform(regexp_extract_all(lower(text), '{text.WORD}'), x -> x) as t from qtexts) select qid, unnest(range(len(t))) as pos, unnest(t) as term from q")
+@_query("udtf_tokens", f"with {_BASE}, q as (select qid, regexp_extract_all(lower(text), '{text.WORD}') as t from qtexts) select qid, unnest(range(len(t))) as pos, unnest(t) as term from q")
 def _(spark, d):
     encoders.register_tokenize(spark)
     query_texts(spark, d).createOrReplaceTempView("_fusemill_queries")
