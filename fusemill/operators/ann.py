@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusemill.functions.vectors import dot, opposite_distance, reciprocal_distance
-from fusemill.operators.dense import knn_exact
+from fusemill.operators.dense import nearest_of
 from fusemill.operators.ranking import top_k
 
 HEAD_RATIO, REPLICAS, PROBES = 0.1, 8, 256
@@ -29,14 +29,14 @@ def kmeans_heads(vectors: DataFrame, clusters: int, seed: int = 1, rounds: int =
     return vectors.sparkSession.createDataFrame(rows, "cluster_id bigint, centroid array<double>")
 
 
-def probe(queries: DataFrame, head: DataFrame, n: int) -> DataFrame:
-    """(qid, probe_rank, cluster_id, cluster_score): the n heads of greatest inner product per query."""
-    found = knn_exact(queries, head.select(F.col("cluster_id").alias("doc_id"), F.col("centroid").alias("vector")), n)
+def probe(queries: DataFrame, head: DataFrame, n: int, metric: str = "dot") -> DataFrame:
+    """(qid, probe_rank, cluster_id, cluster_score): the n best heads per query. Queries stream, heads are broadcast in blocks."""
+    found = nearest_of(queries, head.select(F.col("cluster_id").alias("doc_id"), F.col("centroid").alias("vector")), n, metric)
     return found.select("qid", F.col("rank").alias("probe_rank"), F.col("doc_id").alias("cluster_id"), F.col("score").alias("cluster_score"))
 
 
 def assign(vectors: DataFrame, head: DataFrame, replicas: int = REPLICAS) -> DataFrame:
-    """(cluster_id, doc_id): each vector in its ``replicas`` nearest clusters. Heads are the broadcast side, in blocks."""
+    """(cluster_id, doc_id): each vector in its ``replicas`` nearest clusters."""
     return probe(vectors.select(F.col("doc_id").alias("qid"), "vector"), head, replicas).select("cluster_id", F.col("qid").alias("doc_id"))
 
 

@@ -64,6 +64,40 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot"
     return top_k(found, ["qid"], "score", "doc_id", k)
 
 
+def nearest_of(rows: DataFrame, targets: DataFrame, k: int, metric: str = "dot", digits: int = 6) -> DataFrame:
+    """(qid, rank, doc_id, score): the k best ``targets`` (doc_id, vector) for every one of many ``rows`` (qid, vector).
+
+    The mirror of :func:`knn_exact` for a small target side: the rows stream through the tasks and are never
+    collected; the targets are broadcast in blocks of at most ``QUERY_BLOCK``, and each block's k best are chosen among
+    again. Same rounding, ties and null rules.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}; choose from {', '.join(METRICS)}")
+    spark = rows.sparkSession
+    wanted = written(targets.select("doc_id", "vector").filter("doc_id is not null and vector is not null"), "targets")
+    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        part = wanted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == block).orderBy("doc_id").toArrow()
+        ids = np.asarray(part.column("doc_id"), dtype=np.int64)
+        shared = spark.sparkContext.broadcast((ids, np.array(part.column("vector").to_pylist(), dtype=np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            doc, x = shared.value
+            for whole in batches:
+                for at in range(0, whole.num_rows if len(doc) else 0, 1024):
+                    batch = whole.slice(at, 1024)
+                    qid = np.asarray(batch.column(0), dtype=np.int64)
+                    score = np.round(_scores(metric, np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(qid), -1), x), digits)
+                    top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                    each = np.arange(len(score))[:, None]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, top.shape[1])), pa.array(doc[top].ravel()), pa.array(score[each, top].ravel())], names=["qid", "doc_id", "score"])
+
+        here = rows.select("qid", "vector").filter("qid is not null and vector is not null").mapInArrow(run, "qid bigint, doc_id bigint, score double")
+        found = here if found is None else found.unionByName(here)
+    return top_k(found, ["qid"], "score", "doc_id", k)
+
+
 def largest_squared_norm(vectors: DataFrame) -> DataFrame:
     """One row (largest)."""
     return vectors.agg(F.max(squared_norm(F.col("vector"))).alias("largest"))

@@ -19,6 +19,6 @@ def fuse(sparse: DataFrame, dense: DataFrame, sparse_weight: float = 1.0, dense_
 def weight_grid(sparse: DataFrame, dense: DataFrame, weights: DataFrame, k: int, digits: int = 6) -> DataFrame:
     """(sparse_weight, dense_weight, qid, rank, doc_id, score) for every row of ``weights``, a small table of settings."""
     s, d = sparse.select("qid", "doc_id", F.col("score").alias("s")), dense.select("qid", "doc_id", F.col("score").alias("d"))
-    grid = s.join(d, ["qid", "doc_id"]).crossJoin(F.broadcast(weights.select("sparse_weight", "dense_weight").distinct().limit(1000)))
+    grid = s.join(d, ["qid", "doc_id"]).crossJoin(weights.select("sparse_weight", "dense_weight").distinct())
     scored = grid.withColumn("score", F.round(fused(F.col("s"), F.col("d"), F.col("sparse_weight"), F.col("dense_weight")), digits)).drop("s", "d")
     return top_k(scored, ["sparse_weight", "dense_weight", "qid"], "score", "doc_id", k)

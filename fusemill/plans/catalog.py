@@ -502,11 +502,10 @@ def _(spark, d):
     return ann.probe(_emb_queries(spark, d), ann.heads(_emb(spark, d)), PROBED)
 
 
-@_query("ann_similarity", f"with {_ANN}, s as (select qid, cluster_id, round(1e0 / (1e0 + {_SQ.replace(' v)', ' c)')}), 6) as score from eq, heads) select qid, cluster_id, score from s")
+@_query("ann_similarity", f"with {_ANN}, s as (select qid, cluster_id, round({_SQ.replace(' v)', ' c)')}, 6) as d from eq, heads), r as (select *, row_number() over (partition by qid order by d, cluster_id) as n from s) select qid, cluster_id, round(1e0 / (1e0 + d), 6) as score from r where n <= {PROBED}")
 def _(spark, d):
-    q, h = _emb_queries(spark, d), ann.heads(_emb(spark, d))
-    both = q.crossJoin(F.broadcast(h)) if h.count() <= 100_000 else q.crossJoin(h)
-    return both.select("qid", "cluster_id", F.round(vectors.distance_similarity(vectors.squared_distance(F.col("vector"), F.col("centroid"))), 6).alias("score"))
+    near = ann.probe(_emb_queries(spark, d), ann.heads(_emb(spark, d)), PROBED, "opposite")
+    return near.select("qid", "cluster_id", F.round(vectors.distance_similarity(-F.col("cluster_score")), 6).alias("score"))
 
 
 @_query("ann_search", f"with {_ANN}, {_top_sql('scores')} select qid, rank, doc_id, score from top")

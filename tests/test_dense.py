@@ -47,6 +47,17 @@ def test_query_blocks_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, dense.knn_exact(q, table(spark), 2).collect())) == one
 
 
+@pytest.mark.parametrize("metric", dense.METRICS)
+def test_streamed_rows_give_the_same(spark, monkeypatch, metric):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(40)] + [(40, None)]
+    one = sorted(map(tuple, dense.knn_exact(queries(spark, rows), table(spark, rows[:15]), 3, metric).collect()))
+    for block in (4, 1000):
+        monkeypatch.setattr(dense, "QUERY_BLOCK", block)
+        assert sorted(map(tuple, dense.nearest_of(queries(spark, rows), table(spark, rows[:15]), 3, metric).collect())) == one
+    assert dense.nearest_of(queries(spark, rows), table(spark, []), 3, metric).count() == 0
+
+
 def test_augmentation_keeps_the_order(spark):
     rows = [(i, [float(i % 3), float(i)]) for i in range(8)]
     docs = {r.doc_id: np.array(r.augmented) for r in dense.mips_to_l2(table(spark, rows), "document").collect()}
