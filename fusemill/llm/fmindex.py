@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fusemill.llm.oracle import plain_words_sql
 from fusemill.llm.words import UNSPACED, plain_words
 from fusemill.runtime import spread, table, written
 
@@ -241,4 +242,14 @@ def p7_found(spark, folder: str) -> DataFrame:
 
 
 QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans}
-ORACLES: dict[str, str] = {}
+_GRAMS = {
+    WORDS: f"unnest(list_transform(range(1, len(w) - {WORDS} + 2), lambda i: array_to_string(w[i:i + {WORDS} - 1], ' ')))",
+    LETTERS: f"unnest(list_transform(range(1, length(c) - {LETTERS} + 2), lambda i: substr(c, i, {LETTERS})))",
+}
+ORACLES = {
+    "p7_found": f"""with d as (select doc_id, {plain_words_sql('text')} as w from documents where text is not null and doc_id is not null), dc as (select doc_id, array_to_string(w, '') as c from d),
+i as (select item_id, lower(left(trim(lang), 2)) in ('zh', 'ja') as letters, {plain_words_sql('text')} as w from eval_items where text is not null), ic as (select item_id, array_to_string(w, '') as c from i where letters),
+dw as (select doc_id, {_GRAMS[WORDS]} as g from d), iw as (select item_id, {_GRAMS[WORDS]} as g from i where letters is not true),
+dl as (select doc_id, {_GRAMS[LETTERS]} as g from dc), il as (select item_id, {_GRAMS[LETTERS]} as g from ic)
+select doc_id, item_id from dw join iw using (g) union select doc_id, item_id from dl join il using (g)""",
+}

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusemill.llm.components import connected_components
+from fusemill.llm.oracle import OVERLAPS, words_sql
 from fusemill.llm.words import mix, with_elements
 from fusemill.runtime import table, written
 
@@ -25,6 +26,8 @@ LEAST_WORDS = 20
 MOST_BITS = 69
 #: Members of a bucket that meet in one task; larger buckets are split into blocks which meet pairwise.
 BLOCK = 1000
+#: Elements whose permutations are held at once, so that a text of any length fits a task.
+CHUNK = 32_768
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -37,19 +40,22 @@ def superminhash(offsets: np.ndarray, elements: np.ndarray, m: int) -> np.ndarra
     n = len(offsets) - 1
     doc = np.repeat(np.arange(n), np.diff(offsets))
     best = np.full(n * m, np.iinfo(np.uint64).max, np.uint64)
-    perm = np.tile(np.arange(m, dtype=np.int16), (len(elements), 1))
-    live = np.arange(len(elements))
-    for j in range(m):
-        if not len(live):
-            break
-        bits = mix(elements[live] + np.uint64((j + 1) * int(_GOLDEN) & 0xFFFFFFFFFFFFFFFF))
-        k = j + (((bits & np.uint64(0xFFFFFFFF)) * np.uint64(m - j)) >> np.uint64(32)).astype(np.int64)
-        slot, old = perm[live, k], perm[live, j]
-        perm[live, k], perm[live, j] = old, slot
-        value = (np.uint64(j) << np.uint64(32)) | (bits >> np.uint64(32))
-        np.minimum.at(best, doc[live] * m + slot, value)
-        worst = best.reshape(n, m).max(1) >> np.uint64(32)
-        live = live[worst[doc[live]] > j]
+    for begin in range(0, len(elements), CHUNK):
+        live = np.arange(begin, min(begin + CHUNK, len(elements)))
+        perm = np.tile(np.arange(m, dtype=np.int16), (len(live), 1))
+        for j in range(m):
+            if not len(live):
+                break
+            row = live - begin
+            bits = mix(elements[live] + np.uint64((j + 1) * int(_GOLDEN) & 0xFFFFFFFFFFFFFFFF))
+            k = j + (((bits & np.uint64(0xFFFFFFFF)) * np.uint64(m - j)) >> np.uint64(32)).astype(np.int64)
+            slot, old = perm[row, k], perm[row, j]
+            perm[row, k], perm[row, j] = old, slot
+            value = (np.uint64(j) << np.uint64(32)) | (bits >> np.uint64(32))
+            np.minimum.at(best, doc[live] * m + slot, value)
+            first, last = doc[live[0]], doc[live[-1]] + 1
+            worst = best[first * m : last * m].reshape(-1, m).max(1) >> np.uint64(32)
+            live = live[worst[doc[live] - first] > j]
     return best.reshape(n, m)
 
 
@@ -164,4 +170,7 @@ def p4_groups(spark, folder: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_groups": p4_groups}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "p4_found": f"""with recs as (select 'passage' as kind, doc_id as id, '' as split, {words_sql('body')} as words from passages where doc_id is not null and body is not null and len({words_sql('body')}) >= {LEAST_WORDS}),
+{OVERLAPS} select distinct least(ia, ib) as doc_id_a, greatest(ia, ib) as doc_id_b from pairs""",
+}

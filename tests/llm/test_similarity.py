@@ -55,6 +55,10 @@ def test_superminhash_estimates_jaccard():
         a, b = base[:300], np.concatenate([base[:shared], rng.integers(0, 2**63, 300 - shared).astype(np.uint64)])
         s = minhash.superminhash(np.array([0, 300, 600]), np.concatenate([a, b]), 512)
         assert abs((s[0] == s[1]).mean() - shared / (600 - shared)) < 0.07
+    long = np.arange(1, 70_001, dtype=np.uint64)
+    whole = minhash.superminhash(np.array([0, 70_000, 70_000, 70_003]), np.concatenate([long, long[:3]]), 64)
+    assert (whole[0] == minhash.superminhash(np.array([0, 70_000]), long[::-1].copy(), 64)[0]).all()
+    assert (whole[2] == minhash.superminhash(np.array([0, 3]), long[:3], 64)[0]).all()
     one = minhash.superminhash(np.array([0, 1]), base[:1], 16)
     assert sorted((one[0] >> np.uint64(32)).tolist()) == list(range(16))
 
