@@ -27,10 +27,10 @@ from fusemill.llm.words import mix, with_elements
 from fusemill.runtime import table, written
 
 RARE, GROWTH = 24, 4
-#: Suffixes start in this share of the canonical order, plus two words: its rare part. Of the first 0.2 n + 1 words of two
-#: texts with an overlap of 0.8 one is shared, of the first 0.4 n about half.
+#: Suffixes that choose candidates start in this share of the canonical order, plus two words: its rare part. Of the first
+#: 0.2 n + 1 words of two texts with an overlap of 0.8 one is shared, of the first 0.4 n about half. Coverage takes all starts.
 START_SHARE = 0.4
-#: Words of a suffix that are kept for sorting and common prefixes.
+#: Least words of a suffix that are kept for sorting and common prefixes; see :func:`context_words`.
 CONTEXT = 8
 #: Element frequencies are counted in a table of fixed size; a collision can only change the canonical order, alike for all.
 COUNTERS = 1 << 20
@@ -56,9 +56,26 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def suffix_rows(classes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(kind, key, context array<int>, cls, at int, n int, train, held, s0..s3): the suffixes of every class in canonical order."""
-    shared = classes.sparkSession.sparkContext.broadcast(counts)
+def _depth(often: np.ndarray) -> np.ndarray:
+    """Leading words that make an interval, by the frequency of the first."""
+    return 1 + np.maximum(0, np.ceil(np.log(np.maximum(often, 1) / RARE) / np.log(GROWTH))).astype(np.int64)
+
+
+def context_words(counts: np.ndarray) -> int:
+    """Words of a suffix to keep: no interval is deeper, so spans cut to them cover the same words as spans of any length.
+
+    A run of L words shared from ``at`` on is shared from every later start as well; the last of them that still has the
+    depth of an interval leaves no more words than the depth of its follower.
+    """
+    return max(CONTEXT, int(_depth(counts.max(initial=1))))
+
+
+def suffix_rows(classes: DataFrame, counts: np.ndarray, share: float = 1.0) -> DataFrame:
+    """(kind, key, context array<int>, cls, at int, n int, train, held, s0..s3): the suffixes of every class in canonical order.
+
+    Below a ``share`` of 1 suffixes start in that share of the words, plus two.
+    """
+    shared, width = classes.sparkSession.sparkContext.broadcast(counts), context_words(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = shared.value
@@ -77,23 +94,23 @@ def suffix_rows(classes: DataFrame, counts: np.ndarray) -> DataFrame:
                 flat, often = flat[order], often[order]
                 at = np.arange(len(flat)) - offsets[rec]
                 left = size[rec] - at
-                depth = 1 + np.maximum(0, np.ceil(np.log(np.maximum(often, 1) / RARE) / np.log(GROWTH))).astype(np.int64)
+                depth = _depth(often)
                 early = at <= size[rec] // 5 + 1
                 depth = np.where(early, np.minimum(depth, left), depth)
                 scaled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat) * _powers(len(flat), _BASE)[:-1])])
-                use = np.flatnonzero((depth <= left) & (at < START_SHARE * size[rec] + 2))
+                use = np.flatnonzero((depth <= left) & (at < share * size[rec] + 2))
                 # the polynomial hash of words i..i+d-1 is a difference of prefix sums, brought to power 0
                 span = scaled[use + depth[use]] - scaled[use]
                 key = mix(span * _powers(len(flat), _INVERSE)[use] + depth[use].astype(np.uint64) * _GOLDEN)
-                padded = np.concatenate([flat, np.zeros(CONTEXT, np.uint64)])
-                column = np.arange(CONTEXT)
+                padded = np.concatenate([flat, np.zeros(width, np.uint64)])
+                column = np.arange(width)
                 context = np.where(column < left[use][:, None], (padded[use[:, None] + column] >> np.uint64(33)).astype(np.int32) + 1, 0).astype(np.int32)
                 take = pa.array(rec[use])
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take),
                         pa.array(key.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1) * CONTEXT, pa.int32()), pa.array(context.ravel())),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1) * width, pa.int32()), pa.array(context.ravel())),
                         batch.column(1).take(take),
                         pa.array(at[use].astype(np.int32)),
                         *[batch.column(i).take(take) for i in (2, 3, 4)],
@@ -106,32 +123,32 @@ def suffix_rows(classes: DataFrame, counts: np.ndarray) -> DataFrame:
     return columns.mapInArrow(run, "kind string, key bigint, context array<int>, cls binary, at int, n int, train boolean, held boolean, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
 
 
-def _common_prefix(a: Column, b: Column) -> Column:
+def _common_prefix(a: Column, b: Column, width: int) -> Column:
     """Leading words in common; 0 in a context stands for the end of the text."""
-    out = F.lit(CONTEXT)
-    for i in reversed(range(CONTEXT)):
+    out = F.lit(width)
+    for i in reversed(range(width)):
         out = F.when((F.get(a, F.lit(i)) != F.get(b, F.lit(i))) | (F.get(a, F.lit(i)) == 0), F.lit(i)).otherwise(out)
     return out
 
 
-def shared_spans(suffixes: DataFrame) -> DataFrame:
+def shared_spans(suffixes: DataFrame, width: int = CONTEXT) -> DataFrame:
     """(kind, key, cls, n, train, held, at, s0..s3, length) of the suffixes whose interval holds both splits.
 
     One shuffle by (kind, key); a window drops intervals of one split, then the sort by context puts the suffixes of
     each interval in order, forwards and backwards. ``length`` is the longest common prefix with the nearest suffix of the other split before or
-    after it, up to ``CONTEXT`` words.
+    after it, up to ``width`` words. Equal contexts stand in opposite orders in the two sorts, so that each sees the others.
     """
     interval = Window.partitionBy("kind", "key")
     both = suffixes.withColumn("_t", F.max("train").over(interval)).withColumn("_h", F.max("held").over(interval)).filter("_t and _h").drop("_t", "_h")
     lengths = []
-    for order in (F.col("context").asc(), F.col("context").desc()):
-        earlier = interval.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    for order in ([F.asc(c) for c in ("context", "cls", "at")], [F.desc(c) for c in ("context", "cls", "at")]):
+        earlier = interval.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         for mine, other in (("train", "held"), ("held", "train")):
             name = f"_l{len(lengths)}"
             nearest = F.last(F.when(F.col(other), F.col("context")), ignorenulls=True).over(earlier)
-            both = both.withColumn(name, nearest).withColumn(name, F.when(F.col(mine) & F.col(name).isNotNull(), _common_prefix(F.col("context"), F.col(name))).otherwise(0))
+            both = both.withColumn(name, nearest).withColumn(name, F.when(F.col(mine) & F.col(name).isNotNull(), _common_prefix(F.col("context"), F.col(name), width)).otherwise(0))
             lengths.append(name)
-    alone = F.when(F.col("train") & F.col("held"), _common_prefix(F.col("context"), F.col("context"))).otherwise(0)
+    alone = F.when(F.col("train") & F.col("held"), _common_prefix(F.col("context"), F.col("context"), width)).otherwise(0)
     return both.select("kind", "key", "cls", "n", "train", "held", "at", "s0", "s1", "s2", "s3", F.greatest(alone, *lengths).alias("length"))
 
 
@@ -151,21 +168,30 @@ def split_records(df: DataFrame, kind: str, key: str, text: str, least_words: in
     return with_elements(rows, "_text", least_words)
 
 
-def cross_split(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(records written, spans, links): links (kind, a, b, overlap) between a train class and a held-out class.
+def split_classes(records: DataFrame) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(records written, classes written, element counts).
 
     Records of the same words, in any order, are one class, combined map-side; null splits belong to none. A record
     whose class is in both splits needs no link. Empty input: empty results.
     """
-    spark = records.sparkSession
     rows = written(records, "split_records")
     side = [F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("held")]
     classes = written(rows.groupBy("kind", "cls").agg(*side, F.first("n").alias("n"), F.first("elements").alias("elements")), "split_classes")
-    spans = written(shared_spans(suffix_rows(classes, element_counts(spark, classes))), "spans")
-    pairs = cross_candidates(spans)
+    return rows, classes, element_counts(records.sparkSession, classes)
+
+
+def class_spans(classes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """Shared spans of the suffixes from all starts."""
+    return shared_spans(suffix_rows(classes, counts), context_words(counts))
+
+
+def cross_split(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records written, spans, links): links (kind, a, b, overlap) between a train class and a held-out class; spans are computed on use."""
+    rows, classes, counts = split_classes(records)
+    pairs = cross_candidates(written(shared_spans(suffix_rows(classes, counts, START_SHARE), context_words(counts)), "spans"))
     one = classes.select("cls", "n", "elements").dropDuplicates(["cls"])
     links = verified(pairs.select("a", "b").distinct(), one)
-    return rows, spans, written(links.join(pairs, ["a", "b"]), "split_links")
+    return rows, class_spans(classes, counts), written(links.join(pairs, ["a", "b"]), "split_links")
 
 
 def overlapping_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -180,6 +206,7 @@ def overlapping_pairs(rows: DataFrame, links: DataFrame) -> DataFrame:
 def span_coverage(rows: DataFrame, spans: DataFrame) -> DataFrame:
     """(record_type, id, split, source, n_words, covered): words of each record inside spans shared with the other split.
 
+    A span is a run of the canonical order, of at least the words that make an interval; a text found whole counts whole.
     Spans of a class are merged: a word in several spans counts once. Coverage also counts short chance runs, so it
     is a measure of shared wording; the overlaps proper are in the pairs.
     """
@@ -212,8 +239,8 @@ def p5_report(spark, folder: str) -> DataFrame:
 
 
 def p5_coverage(spark, folder: str) -> DataFrame:
-    rows, spans, _ = cross_split(_records(spark, folder))
-    return span_coverage(rows, spans)
+    rows, classes, counts = split_classes(_records(spark, folder))
+    return span_coverage(rows, class_spans(classes, counts))
 
 
 QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_coverage": p5_coverage}

@@ -132,6 +132,20 @@ def test_cross_split_against_brute_force(spark):
     assert all(c <= n for c, n in cover.values())
 
 
+def test_coverage_counts_whole_records(spark):
+    rnd = random.Random(4)
+    whole, long = (" ".join(rnd.choices(WORDS, k=k)) for k in (60, 150))
+    half = " ".join(f"t{i}" for i in range(40))
+    rows = [(1, whole, "train", "s", 1), (2, whole, "dev", "s", 1), (3, long, "train", "s", 1), (4, long, "test", "s", 1), (5, f"{half} {' '.join(f'u{i}' for i in range(40))}", "train", "s", 1), (6, half, "dev", "s", 1), (7, "alone " * 30, "dev", "s", 1)]
+    # ten copies of a word run make two texts of one split alike as well: equal contexts on both sides
+    rows += [(10 + i, " ".join(f"v{j}" for j in range(20)) + f" z{i}", "train" if i % 2 else "dev", "s", 1) for i in range(10)]
+    written, spans, _ = cross(spark, rows, 20)
+    cover = {r.id: (r.covered, r.n_words) for r in suffixes.span_coverage(written, spans).collect()}
+    assert [cover[i] for i in (1, 2, 3, 4)] == [(60, 60)] * 2 + [(150, 150)] * 2
+    assert cover[5][0] == cover[6][0] == 40 and cover[7][0] == 0
+    assert all(cover[10 + i] == (20, 21) for i in range(10))
+
+
 def test_short_records(spark):
     rows = [(1, "a b c d e", "train", "s", 1), (2, "a b c d x", "dev", "s", 1), (3, "e d c b a", "test", "s", 1), (4, "q", "train", "s", 1), (5, "q", "dev", "s", 1), (6, "a b c", "dev", "s", 1)]
     written, _, links = cross(spark, rows, 1)
