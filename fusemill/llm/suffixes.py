@@ -1,15 +1,14 @@
 """Same or near-same records across splits, by a partitioned suffix array (problem 5).
 
 Every text class is written as its word elements in one canonical order, rarest first, which makes the result
-independent of word order. All suffixes of all records, cut to their leading words, are distributed by their first
+independent of word order. Coverage: all suffixes of all records, cut to their leading words, are distributed by their first
 words and sorted: each partition is a piece of one suffix array over the concatenated texts. Neighbours of different
-splits with a common prefix reveal shared spans; the spans are merged into a coverage per record, and the records of
-a prefix interval holding both splits are compared exactly.
+splits with a common prefix reveal shared spans; the spans are merged into a coverage per record. How many leading words
+make an interval depends on how many texts hold the first of them: one word is enough while at most ``RARE`` texts hold
+it, and each ``GROWTH``-fold frequency asks for one word more.
 
-How many leading words make an interval depends on how many texts hold the first of them: one word is enough while at
-most ``RARE`` texts hold it, and each ``GROWTH``-fold frequency asks for one word more. So intervals stay small at any
-size of the corpus, and two texts that share 0.8 of their words share such a prefix unless their unshared words
-interrupt every single run.
+Pairs: two texts that share 0.8 of their words need not share a run of that depth, so candidates come from the rarest
+words of each text (prefix filter, see :func:`prefix_keys`) whatever their frequency, and are compared exactly.
 """
 
 from __future__ import annotations
@@ -21,15 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fusemill.llm.minhash import LEAST_WORDS, MOST_BITS, OVERLAP, differing_bits, one_bit_sketch, superminhash, verified
+from fusemill.llm.minhash import BLOCK, LEAST_WORDS, MOST_BITS, OVERLAP, differing_bits, one_bit_sketch, superminhash, verified
 from fusemill.llm.oracle import OVERLAPS, words_sql
 from fusemill.llm.words import mix, with_elements
 from fusemill.runtime import table, written
 
 RARE, GROWTH = 24, 4
-#: Suffixes that choose candidates start in this share of the canonical order, plus two words: its rare part. Of the first
-#: 0.2 n + 1 words of two texts with an overlap of 0.8 one is shared, of the first 0.4 n about half. Coverage takes all starts.
-START_SHARE = 0.4
+#: Elements held by at most ``HOT`` texts are keys of candidates alone; each ``HOT_GROWTH``-fold frequency joins one more to
+#: the key, up to the number given for texts of at most so many words.
+HOT, HOT_GROWTH = 256, 16
+KEY_WORDS = ((16, 4), (48, 3), (1 << 31, 2))
 #: Least words of a suffix that are kept for sorting and common prefixes; see :func:`context_words`.
 CONTEXT = 8
 #: Element frequencies are counted in a table of fixed size; a collision can only change the canonical order, alike for all.
@@ -70,11 +70,99 @@ def context_words(counts: np.ndarray) -> int:
     return max(CONTEXT, int(_depth(counts.max(initial=1))))
 
 
-def suffix_rows(classes: DataFrame, counts: np.ndarray, share: float = 1.0) -> DataFrame:
-    """(kind, key, context array<int>, cls, at int, n int, train, held, s0..s3): the suffixes of every class in canonical order.
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, elements) of a slice of a list column."""
+    offsets = np.asarray(column.offsets, dtype=np.int64)
+    return offsets - offsets[0], np.asarray(column.values)[offsets[0] : offsets[-1]].view(np.uint64)
 
-    Below a ``share`` of 1 suffixes start in that share of the words, plus two.
+
+def _canonical(offsets: np.ndarray, flat: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(size, record, element, frequency), the latter three by element, every record in canonical order."""
+    size = np.diff(offsets)
+    rec = np.repeat(np.arange(len(size)), size)
+    often = counts[(flat % np.uint64(COUNTERS)).astype(np.int64)]
+    order = np.lexsort((flat, often, rec))
+    return size, rec, flat[order], often[order]
+
+
+def _least_common(n: np.ndarray, overlap: float) -> np.ndarray:
+    """Elements two texts have in common at least, the longer of n elements."""
+    return np.ceil(n * overlap - 1e-9).astype(np.int64)
+
+
+def length_bands(most: int, overlap: float) -> np.ndarray:
+    """First lengths of bands; texts whose lengths allow the overlap are in one band or in neighbouring ones."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(int(out[-1] / overlap + 1e-9) + 1)
+    return np.array(out, np.int64)
+
+
+def prefix_keys(offsets: np.ndarray, flat: np.ndarray, counts: np.ndarray, overlap: float = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(record, key, own) such that any two records of the overlap share a key, and one has it as its own.
+
+    A pair is looked for in the band of its longer text. There, a text of n elements has at most s = n - (least common)
+    elements that the other lacks, so the pair's first d common elements in canonical order are among the first s + d of both. All
+    choices of d of these, with no more than s left out, are keys. d follows from the frequency of the first of them
+    and the band, which both texts know; it decides only how many texts meet at a key, never whether a pair does.
     """
+    size, rec, flat, often = _canonical(offsets, flat, counts)
+    bands = length_bands(int(size.max(initial=1)), overlap)
+    mine = np.searchsorted(bands, size, "right") - 1
+    wanted = 1 + np.maximum(0, np.ceil(np.log(np.maximum(often, 1) / HOT) / np.log(HOT_GROWTH))).astype(np.int64)
+    out = []
+    for step in (0, 1):
+        band = mine + step
+        low = np.maximum(size, bands[np.minimum(band, len(bands) - 1)])
+        spare = size - _least_common(low, overlap)  # below 0: no pair with a text of this band
+        first = bands[np.minimum(band, len(bands) - 1)]
+        most = np.select([first <= n for n, _ in KEY_WORDS], [d for _, d in KEY_WORDS])
+        most = np.minimum(most, np.maximum(_least_common(first, overlap), 1))
+        begin = offsets[:-1]
+        at = np.arange(len(flat)) - begin[rec]
+        last = np.flatnonzero(at <= spare[rec])
+        left = np.minimum(wanted[last], most[rec[last]]) - 1
+        key = mix(flat[last] + (band[rec[last]].astype(np.uint64) + np.uint64(1)) * _GOLDEN)
+        chosen = 1
+        while len(last):
+            done = left == 0
+            who = rec[last[done]]
+            out.append((who, key[done], np.full(len(who), step == 0)))
+            last, left, key = last[~done], left[~done], key[~done]
+            stop = np.minimum(spare[rec[last]] + chosen, size[rec[last]] - 1) + begin[rec[last]]
+            many = np.maximum(stop - last, 0)
+            source = np.repeat(np.arange(len(last)), many)
+            following = last[source] + 1 + np.arange(len(source)) - np.repeat(np.cumsum(many) - many, many)
+            key = mix(key[source] * np.uint64(31) + flat[following] + _GOLDEN)
+            last, left, chosen = following, left[source] - 1, chosen + 1
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def prefix_rows(classes: DataFrame, counts: np.ndarray, overlap: float = OVERLAP) -> DataFrame:
+    """(kind, key, own, cls, n int, train, held, s0..s3): the keys of :func:`prefix_keys` of every class; s0..s3 are 256 one-bit signature values."""
+    shared = classes.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 250):
+                batch = whole.slice(begin, 250)
+                offsets, flat = _lists(batch.column(5))
+                sketch = one_bit_sketch(superminhash(offsets, flat, 256))
+                rec, key, own = prefix_keys(offsets, flat, shared.value, overlap)
+                take = pa.array(rec)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(take), pa.array(key.view(np.int64)), pa.array(own), *[batch.column(i).take(take) for i in (1, 2, 3, 4)], *[pa.array(sketch[rec, i]) for i in range(4)]],
+                    names=["kind", "key", "own", "cls", "n", "train", "held", "s0", "s1", "s2", "s3"],
+                )
+
+    columns = classes.select("kind", "cls", "n", "train", "held", "elements")
+    return columns.mapInArrow(run, "kind string, key bigint, own boolean, cls binary, n int, train boolean, held boolean, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+
+
+def suffix_rows(classes: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(kind, key, context array<int>, cls, at int, train, held): the suffixes of every class in canonical order."""
     shared, width = classes.sparkSession.sparkContext.broadcast(counts), context_words(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,23 +170,15 @@ def suffix_rows(classes: DataFrame, counts: np.ndarray, share: float = 1.0) -> D
         for whole in batches:
             for begin in range(0, whole.num_rows, 250):
                 batch = whole.slice(begin, 250)
-                lists = batch.column(5)
-                offsets = np.asarray(lists.offsets, dtype=np.int64)
-                flat = np.asarray(lists.values)[offsets[0] : offsets[-1]].view(np.uint64)
-                offsets = offsets - offsets[0]
-                sketch = one_bit_sketch(superminhash(offsets, flat, 256))
-                size = np.diff(offsets)
-                rec = np.repeat(np.arange(len(size)), size)
-                often = table_[(flat % np.uint64(COUNTERS)).astype(np.int64)]
-                order = np.lexsort((flat, often, rec))
-                flat, often = flat[order], often[order]
+                offsets, flat = _lists(batch.column(4))
+                size, rec, flat, often = _canonical(offsets, flat, table_)
                 at = np.arange(len(flat)) - offsets[rec]
                 left = size[rec] - at
                 depth = _depth(often)
                 early = at <= size[rec] // 5 + 1
                 depth = np.where(early, np.minimum(depth, left), depth)
                 scaled = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat) * _powers(len(flat), _BASE)[:-1])])
-                use = np.flatnonzero((depth <= left) & (at < share * size[rec] + 2))
+                use = np.flatnonzero(depth <= left)
                 # the polynomial hash of words i..i+d-1 is a difference of prefix sums, brought to power 0
                 span = scaled[use + depth[use]] - scaled[use]
                 key = mix(span * _powers(len(flat), _INVERSE)[use] + depth[use].astype(np.uint64) * _GOLDEN)
@@ -113,14 +193,13 @@ def suffix_rows(classes: DataFrame, counts: np.ndarray, share: float = 1.0) -> D
                         pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1) * width, pa.int32()), pa.array(context.ravel())),
                         batch.column(1).take(take),
                         pa.array(at[use].astype(np.int32)),
-                        *[batch.column(i).take(take) for i in (2, 3, 4)],
-                        *[pa.array(sketch[rec[use], i]) for i in range(4)],
+                        *[batch.column(i).take(take) for i in (2, 3)],
                     ],
-                    names=["kind", "key", "context", "cls", "at", "n", "train", "held", "s0", "s1", "s2", "s3"],
+                    names=["kind", "key", "context", "cls", "at", "train", "held"],
                 )
 
-    columns = classes.select("kind", "cls", "n", "train", "held", "elements")
-    return columns.mapInArrow(run, "kind string, key bigint, context array<int>, cls binary, at int, n int, train boolean, held boolean, s0 bigint, s1 bigint, s2 bigint, s3 bigint")
+    columns = classes.select("kind", "cls", "train", "held", "elements")
+    return columns.mapInArrow(run, "kind string, key bigint, context array<int>, cls binary, at int, train boolean, held boolean")
 
 
 def _common_prefix(a: Column, b: Column, width: int) -> Column:
@@ -132,7 +211,7 @@ def _common_prefix(a: Column, b: Column, width: int) -> Column:
 
 
 def shared_spans(suffixes: DataFrame, width: int = CONTEXT) -> DataFrame:
-    """(kind, key, cls, n, train, held, at, s0..s3, length) of the suffixes whose interval holds both splits.
+    """(kind, key, cls, train, held, at, length) of the suffixes whose interval holds both splits.
 
     One shuffle by (kind, key); a window drops intervals of one split, then the sort by context puts the suffixes of
     each interval in order, forwards and backwards. ``length`` is the longest common prefix with the nearest suffix of the other split before or
@@ -149,15 +228,24 @@ def shared_spans(suffixes: DataFrame, width: int = CONTEXT) -> DataFrame:
             both = both.withColumn(name, nearest).withColumn(name, F.when(F.col(mine) & F.col(name).isNotNull(), _common_prefix(F.col("context"), F.col(name), width)).otherwise(0))
             lengths.append(name)
     alone = F.when(F.col("train") & F.col("held"), _common_prefix(F.col("context"), F.col("context"), width)).otherwise(0)
-    return both.select("kind", "key", "cls", "n", "train", "held", "at", "s0", "s1", "s2", "s3", F.greatest(alone, *lengths).alias("length"))
+    return both.select("kind", "key", "cls", "train", "held", "at", F.greatest(alone, *lengths).alias("length"))
+
 
+def cross_candidates(keyed: DataFrame, overlap: float = OVERLAP) -> DataFrame:
+    """Distinct (kind, a, b) of classes, a in train and b held out, that share a key and whose lengths and one-bit signatures allow the overlap.
 
-def cross_candidates(spans: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """Distinct (a, b) of classes, a in train and b held out, that meet in an interval and whose lengths and one-bit signatures allow the overlap."""
-    t, h = spans.filter("train").alias("t"), spans.filter("held").alias("h")
+    One shuffle drops the keys of one split. Train members of a key above ``BLOCK`` are split into blocks, each of
+    which meets all held-out members in a task of its own; none is capped.
+    """
+    alike = Window.partitionBy("kind", "key")
+    met = keyed.withColumn("_t", F.sum(F.col("train").cast("long")).over(alike)).withColumn("_h", F.max("held").over(alike)).filter("_t > 0 and _h")
+    met = written(met.withColumn("blocks", F.ceil(F.col("_t") / BLOCK).cast("int")).drop("_t", "_h"), "split_keys")
+    t = met.filter("train").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")).alias("t")
+    h = met.filter("held").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("h")
     near = (F.least("t.n", "h.n") >= F.greatest("t.n", "h.n") * overlap) & (differing_bits("t", "h") <= MOST_BITS)
-    same = (F.col("t.kind") == F.col("h.kind")) & (F.col("t.key") == F.col("h.key")) & (F.col("t.cls") != F.col("h.cls")) & near
-    return t.join(h, same).select(F.col("t.kind").alias("kind"), F.col("t.cls").alias("a"), F.col("h.cls").alias("b")).distinct()
+    same = (F.col("t.kind") == F.col("h.kind")) & (F.col("t.key") == F.col("h.key")) & (F.col("t.block") == F.col("h.block"))
+    both = t.join(h, same & (F.col("t.own") | F.col("h.own")) & (F.col("t.cls") != F.col("h.cls")) & near)
+    return both.select(F.col("t.kind").alias("kind"), F.col("t.cls").alias("a"), F.col("h.cls").alias("b")).distinct()
 
 
 def split_records(df: DataFrame, kind: str, key: str, text: str, least_words: int) -> DataFrame:
@@ -188,7 +276,7 @@ def class_spans(classes: DataFrame, counts: np.ndarray) -> DataFrame:
 def cross_split(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(records written, spans, links): links (kind, a, b, overlap) between a train class and a held-out class; spans are computed on use."""
     rows, classes, counts = split_classes(records)
-    pairs = cross_candidates(written(shared_spans(suffix_rows(classes, counts, START_SHARE), context_words(counts)), "spans"))
+    pairs = cross_candidates(prefix_rows(classes, counts))
     one = classes.select("cls", "n", "elements").dropDuplicates(["cls"])
     links = verified(pairs.select("a", "b").distinct(), one)
     return rows, class_spans(classes, counts), written(links.join(pairs, ["a", "b"]), "split_links")

@@ -152,6 +152,39 @@ def test_short_records(spark):
     assert {(r.t, r.h) for r in suffixes.overlapping_pairs(written, links).collect()} == brute_cross(rows, 1) == {(1, 2), (1, 3), (4, 5)}
 
 
+def test_candidates_do_not_depend_on_frequency():
+    rnd = random.Random(6)
+    texts = []
+    for n in [4, 5, 5, 6, 7, 9, 10, 13, 18, 24, 30, 45, 60] * 25:
+        base = rnd.sample(WORDS, n)
+        other = list(base)
+        for k in rnd.sample(range(n), n // 5):
+            other[k] = rnd.choice(WORDS)
+        texts += [" ".join(base), " ".join(other[: n - rnd.choice([0, 0, 1]) * (n % 5 > 0)])]
+    offsets, flat = words.multiset(texts, words.WordHash())
+    single = np.bincount((flat % np.uint64(suffixes.COUNTERS)).astype(np.int64), minlength=suffixes.COUNTERS)
+    close = [i for i in range(0, len(texts), 2) if overlap(texts[i], texts[i + 1]) >= 0.8 and set(texts[i].split()) != set(texts[i + 1].split())]
+    assert len(close) > 200
+    for times in (1, 100, 10_000, 1_000_000):
+        rec, key, own = suffixes.prefix_keys(offsets, flat, np.minimum(single.astype(np.int64) * times, 2**31 - 1).astype(np.int32))
+        held = [{} for _ in texts]
+        for r, k, o in zip(rec.tolist(), key.tolist(), own.tolist()):
+            held[r][k] = held[r].get(k, False) or o
+        assert all(any(o or held[i + 1][k] for k, o in held[i].items() if k in held[i + 1]) for i in close)
+
+
+def test_pairs_of_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK", 3)
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    monkeypatch.setattr(suffixes, "RARE", 1)
+    monkeypatch.setattr(suffixes, "HOT_GROWTH", 2)
+    rnd = random.Random(7)
+    few = [f"c{i}" for i in range(9)]
+    rows = [(i, " ".join(rnd.sample(few, rnd.choice([4, 5, 5, 6, 7]))), rnd.choice(["train", "dev", "test"]), "s", 1) for i in range(150)]
+    written, _, links = cross(spark, rows, 1)
+    assert {(r.t, r.h) for r in suffixes.overlapping_pairs(written, links).collect()} == brute_cross(rows, 1)
+
+
 def test_cross_split_empty(spark):
     written, spans, links = cross(spark, [], 1)
     assert suffixes.overlapping_pairs(written, links).count() == 0 and spans.count() == 0
