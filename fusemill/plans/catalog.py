@@ -18,6 +18,8 @@ K = 10
 DEPTH = 100
 QUERY_STEP = 20
 PROBED = 4
+#: Of 32 k-means clusters with 2 replicas: 12 give a recall@10 of 0.92 on the embeddings, 16 give 0.965.
+KMEANS_PROBED = 16
 
 QUERIES: dict = {**references.QUERIES}
 ORACLES: dict[str, str] = {**references.ORACLES}
@@ -525,7 +527,7 @@ def _(spark, d):
 def _(spark, d):
     e, q = _emb(spark, d), _emb_queries(spark, d)
     head = ann.kmeans_heads(e, 32)
-    return ann.search_ann(q, e, head, ann.assign(e, head, 2), PROBED, K)
+    return ann.search_ann(q, e, head, ann.assign(e, head, 2), KMEANS_PROBED, K)
 
 
 # ---- hybrid: the text of id i and the vector of id i, joined on ids present in both tables -----------------------------

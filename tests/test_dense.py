@@ -104,3 +104,12 @@ def test_fusion(spark):
     grid = spark.createDataFrame([(1.0, 0.0), (0.0, 1.0)], "sparse_weight double, dense_weight double")
     assert hybrid.weight_grid(s, d, grid, 3).count() == 2
     assert math.isclose(hybrid.fuse(s.limit(0), d).count(), 0)
+
+
+def test_kmeans_search_reaches_the_required_recall(spark):
+    from fusemill.plans import catalog
+
+    folder = "/root/testdata/sf0.1"
+    exact = dense.knn_exact(catalog._emb_queries(spark, folder), catalog._emb(spark, folder), catalog.K).select("qid", "doc_id")
+    found = catalog.QUERIES["ann_kmeans_search"](spark, folder).select("qid", "doc_id")
+    assert exact.intersect(found).count() / exact.count() >= 0.9
