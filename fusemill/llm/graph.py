@@ -201,6 +201,8 @@ def _build(key: tuple, group: pa.Table) -> pa.Table:
 
 
 def _search(k: int):
+    beam = max(BEAM, 2 * k + 16)  # a shard may hold all k neighbours
+
     def run(key: tuple, queries: pa.Table, index: pa.Table) -> pa.Table:
         reps, near, sims = [], [], []
         for g in index.to_pylist():
@@ -213,7 +215,7 @@ def _search(k: int):
                 part = queries.slice(at, 500)
                 rep = np.asarray(part.column("rep"), dtype=np.int64)
                 q = _matrix(part.column("embedding").combine_chunks())
-                found, _ = beam_search(x, edges, unit(q), entries, BEAM)
+                found, _ = beam_search(x, edges, unit(q), entries, beam)
                 found = found[:, : k + 3]
                 q = q.astype(np.float64)
                 q /= np.linalg.norm(q, axis=1, keepdims=True)

@@ -37,6 +37,14 @@ def test_recall_over_several_cells(spark, monkeypatch):
     assert len(pairs) == len(want) and len(pairs & want) / len(want) >= 0.95
 
 
+def test_more_neighbours_than_the_least_beam(spark):
+    x, k = vectors(400, 5), 2 * graph.BEAM + 4
+    got = graph.nearest_vectors(frame(spark, [(i, v.tolist(), 1, "n") for i, v in enumerate(x)]), "vec_id", "embedding", k)
+    pairs = {(r.id, r.near) for r in got.collect()}
+    want = brute(list(range(400)), x, k)
+    assert len(pairs) == len(want) and len(pairs & want) / len(want) >= 0.95
+
+
 def test_copies_unusable_rows_and_few_vectors(spark):
     x = vectors(6, 3)
     rows = [(i, v.tolist(), 1, "n") for i, v in enumerate(x)] + [(10 + i, x[0].tolist(), 1, "n") for i in range(9)]
