@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
+#: Tables written and not yet deleted: path -> session.
+_WRITTEN: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,7 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
 
-    Unlike a local checkpoint this survives the loss of any executor, and the reader prunes columns.
+    Unlike a local checkpoint this survives the loss of any executor, and the reader prunes columns. :func:`dropped`
+    deletes the table as soon as nothing reads it any more; what is left goes when the session stops.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -36,19 +38,46 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    if not _WRITTEN:
-        atexit.register(_forget)
-    _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _forget_at_stop(spark)
+    _WRITTEN[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
 
 
-def _forget() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-        except Exception:  # the JVM may be gone already
-            return
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of :func:`written`; no DataFrame still to be run may read them. Others are left alone."""
+    for df in tables:
+        path = getattr(df, "__dict__", {}).get("_written_path")
+        if path in _WRITTEN:
+            _delete(_WRITTEN.pop(path), path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _forget_at_stop(spark: SparkSession) -> None:
+    """Once per Spark context: delete what is left before the context stops, be it by ``stop()`` or at exit."""
+    context = spark.sparkContext
+    if getattr(context, "_fusemill_cleans", False):
+        return
+    context._fusemill_cleans = True
+    stop = context.stop
+
+    def clean_and_stop() -> None:
+        for path in [p for p, s in _WRITTEN.items() if s.sparkContext is context]:
+            session = _WRITTEN.pop(path)
+            try:
+                _delete(session, path)
+            except Exception:  # noqa: BLE001  one table that cannot be deleted must not keep the others
+                continue
+        if context._jsc is not None:
+            stop()
+
+    context.stop = clean_and_stop
+    atexit.register(lambda: context._jsc is not None and clean_and_stop())
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -61,6 +90,11 @@ def tasks_for(rows: int, per_task: int, least: int = 1) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: use all cores even where the input is a single small file."""
+    """For work that is heavy per row: use all cores even where the input is a few small files.
+
+    Decided from the sizes of the files behind ``df``, so no part of the plan runs for it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+    scanned = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(2 * cores) if scanned < cores * split else df
