@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The line-break markers, and the characters that are invisible.
@@ -19,9 +22,12 @@ INVISIBLE = "\u200b\u00ad"
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー"
 
 _MARKER = regex.compile(MARKERS)
-_DROP = {ord(c): None for c in INVISIBLE}
-_WORD = regex.compile(rf"(?V1)([[{UNSPACED}]&&[\p{{L}}\p{{M}}\p{{N}}]]+)|[[\p{{L}}\p{{M}}\p{{N}}]--[{UNSPACED}]]+")
+_WORD = regex.compile(rf"(?V1)[[{UNSPACED}]&&[\p{{L}}\p{{M}}\p{{N}}]]+|[[\p{{L}}\p{{M}}\p{{N}}]--[{UNSPACED}]]+")
 _LETTER = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+_PLAIN = re.compile(r"[a-z0-9]+")
+_UNSPACED = regex.compile(f"[{UNSPACED}]")
+#: Blocks that hold all letters of the scripts without spaces (and others): a quick look before the exact patterns.
+_MAYBE_UNSPACED = re.compile("[\u0e00-\u0e7f\u2e80-\uabff\uf900-\U0010ffff]")
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Texts handled at once inside a task, so that intermediate arrays stay small.
@@ -30,24 +36,36 @@ SLICE = 1000
 
 def clean(text: str) -> str:
     """Markers to spaces, invisible characters dropped, accents composed, lower case."""
-    return unicodedata.normalize("NFC", _MARKER.sub(" ", text).translate(_DROP)).lower()
+    if "#" in text or "<" in text:
+        text = _MARKER.sub(" ", text)
+    if not text.isascii():
+        for c in INVISIBLE:
+            text = text.replace(c, "")
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+    return text.lower()
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits; runs of Chinese, Japanese or Thai characters give every two neighbouring characters."""
+    text = clean(text)
+    if text.isascii():
+        return _PLAIN.findall(text)
+    if _MAYBE_UNSPACED.search(text) is None:
+        return _LETTER.findall(text)
     out: list[str] = []
-    for m in _WORD.finditer(clean(text)):
-        run = m.group()
-        if m.group(1) is None or len(run) == 1:
-            out.append(run)
+    for run in _WORD.findall(text):
+        if len(run) > 1 and _UNSPACED.match(run):
+            out.extend(map(str.__add__, run, run[1:]))
         else:
-            out.extend(run[i : i + 2] for i in range(len(run) - 1))
+            out.append(run)
     return out
 
 
 def plain_words(text: str) -> list[str]:
     """Runs of letters and digits of any script."""
-    return _LETTER.findall(clean(text))
+    text = clean(text)
+    return _PLAIN.findall(text) if text.isascii() else _LETTER.findall(text)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -67,13 +85,17 @@ class WordHash(dict):
         return value
 
 
-def multiset(texts: list[str], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, elements): each text's words as sorted distinct uint64; the i-th repeat of a word is an element of its own."""
+def sequences(texts: list[str], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, hashes): each text's words in their order as uint64."""
     hashes = [[known[w] for w in words(t)] for t in texts]
     sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
     offsets = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.fromiter((h for hs in hashes for h in hs), np.uint64, int(offsets[-1]))
-    doc = np.repeat(np.arange(len(texts)), sizes)
+    return offsets, np.fromiter(chain.from_iterable(hashes), np.uint64, int(offsets[-1]))
+
+
+def multiset(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Elements of every sequence, sorted and distinct: the i-th repeat of a word is an element of its own."""
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     order = np.lexsort((flat, doc))
     flat, doc = flat[order], doc[order]
     fresh = np.ones(len(flat), bool)
@@ -81,32 +103,75 @@ def multiset(texts: list[str], known: WordHash) -> tuple[np.ndarray, np.ndarray]
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(flat)), 0))
     repeat = (np.arange(len(flat)) - start).astype(np.uint64)
     flat = np.where(repeat == 0, flat, mix(flat + repeat * _GOLDEN))
-    return offsets, flat[np.lexsort((flat, doc))]
+    return flat[np.lexsort((flat, doc))]
+
+
+def parity_sketch(offsets: np.ndarray, elements: np.ndarray) -> np.ndarray:
+    """(texts, 4) int64: 256 bits, each the parity of the elements that fall on it.
+
+    One element flips one bit, so two sketches never differ in more bits than the texts have elements that only
+    one of them holds: a bound that loses no pair.
+    """
+    n = len(offsets) - 1
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    fell = np.bincount(doc * 256 + (mix(elements) & np.uint64(255)).astype(np.int64), minlength=n * 256)
+    return np.packbits((fell & 1).astype(np.uint8).reshape(n, 256), axis=1).view(np.int64)
+
 
+def lists_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, elements) of a slice of a list column."""
+    offsets = np.asarray(column.offsets, dtype=np.int64)
+    return offsets - offsets[0], np.asarray(column.values)[offsets[0] : offsets[-1]].view(np.uint64)
 
-def with_elements(df: DataFrame, text: str, least_words: int = 1) -> DataFrame:
-    """Replace ``text`` by (cls binary, n int, elements array<bigint>) and drop rows of fewer than ``least_words`` words.
 
-    ``cls`` is a 128-bit digest of the multiset: equal for texts with the same words, whatever their order.
-    Null and empty texts have no words; whole texts are read, however long.
+def digested(df: DataFrame, text: str, least_words: int = 1, ordered: bool = False) -> DataFrame:
+    """Add (cls binary, n int) and drop rows of fewer than ``least_words`` words.
+
+    ``cls`` is a 128-bit digest of the words, with ``ordered`` in their order, else of their multiset. Null and empty
+    texts have no words; whole texts are read, however long.
     """
-    kept = [f for f in df.schema.fields if f.name != text]
-    names = [f.name for f in kept]
+    at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHash()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                texts = [t or "" for t in batch.column(batch.schema.get_field_index(text)).to_pylist()]
-                offsets, flat = multiset(texts, known)
+            for begin in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(begin, SLICE)
+                offsets, flat = sequences([t or "" for t in batch.column(at).to_pylist()], known)
+                flat = flat if ordered else multiset(offsets, flat)
                 size = np.diff(offsets)
-                digests = [xxhash.xxh3_128_digest(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-                out = pa.RecordBatch.from_arrays(
-                    [*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(digests, pa.binary()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int64)))],
-                    names=[*names, "cls", "n", "elements"],
-                )
+                raw = memoryview(flat.tobytes())
+                digests = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(size, pa.int32())], names=[*batch.schema.names, "cls", "n"])
                 yield out.filter(pa.array(size >= least_words))
 
-    schema = T.StructType([*kept, T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("elements", T.ArrayType(T.LongType()))])
-    return df.select(*names, text).mapInArrow(run, schema)
+    schema = T.StructType([*df.schema.fields, T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType())])
+    return df.mapInArrow(run, schema)
+
+
+def class_table(digests: DataFrame, text: str, kept: list[str], aggregates: list[Column], ordered: bool = False) -> DataFrame:
+    """One row per class: num bigint, the ``kept`` group columns, cls, n, the aggregates, s0..s3 (:func:`parity_sketch`), elements and, if ``ordered``, sequence.
+
+    Texts, which compress well, are shuffled once with map-side combination, never their hashes, so a group of copies of any
+    size costs a row per task. ``num`` numbers the classes; write the table before using it twice.
+    """
+    grouped = digests.groupBy(*kept, "cls").agg(F.first("n").alias("n"), *aggregates, F.first(text).alias("_text"))
+    grouped = grouped.withColumn("num", F.monotonically_increasing_id())
+    names = ["num", *[c for c in grouped.columns if c not in ("num", "_text")]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHash()
+        for whole in batches:
+            for begin in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(begin, SLICE)
+                offsets, flat = sequences(batch.column(len(names)).to_pylist(), known)
+                elements = multiset(offsets, flat)
+                sketch = parity_sketch(offsets, elements)
+                arrays = [*batch.columns[: len(names)], *[pa.array(sketch[:, i]) for i in range(4)]]
+                arrays += [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x.view(np.int64))) for x in ([elements, flat] if ordered else [elements])]
+                yield pa.RecordBatch.from_arrays(arrays, names=out_names)
+
+    fields = [grouped.schema[c] for c in names] + [T.StructField(f"s{i}", T.LongType()) for i in range(4)]
+    fields += [T.StructField(c, T.ArrayType(T.LongType())) for c in (["elements", "sequence"] if ordered else ["elements"])]
+    out_names = [f.name for f in fields]
+    return grouped.select(*names, "_text").mapInArrow(run, T.StructType(fields))

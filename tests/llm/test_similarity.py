@@ -5,11 +5,17 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from fusemill import runtime
 from fusemill.llm import components, minhash, suffixes, words
 
 WORDS = [f"w{i}" for i in range(400)]
 
 
+def bags(texts):
+    offsets, flat = words.sequences(texts, words.WordHash())
+    return offsets, words.multiset(offsets, flat)
+
+
 def overlap(a, b):
     x, y = Counter(words.words(a)), Counter(words.words(b))
     return sum((x & y).values()) / max(sum(x.values()), sum(y.values()), 1)
@@ -43,7 +49,7 @@ def test_words():
 
 
 def test_multiset_elements_count_repeats():
-    offsets, flat = words.multiset(["a a b", "b a a", "", "a b"], words.WordHash())
+    offsets, flat = bags(["a a b", "b a a", "", "a b"])
     sets = [set(flat[x:y].tolist()) for x, y in zip(offsets, offsets[1:])]
     assert sets[0] == sets[1] and len(sets[0]) == 3 and sets[2] == set() and sets[3] < sets[0]
 
@@ -118,18 +124,51 @@ def brute_cross(rows, least):
     return out
 
 
+def records_of(spark, rows, least):
+    return suffixes.split_records(spark.createDataFrame(rows, SPLIT).repartition(3), "passage", "id", "text", least)
+
+
 def cross(spark, rows, least):
-    records = suffixes.split_records(spark.createDataFrame(rows, SPLIT).repartition(3), "passage", "id", "text", least)
-    return suffixes.cross_split(records)
+    return suffixes.cross_split(records_of(spark, rows, least))
+
+
+def coverage(spark, rows, least):
+    written, classes = suffixes.split_classes(records_of(spark, rows, least))
+    return suffixes.span_coverage(written, suffixes.closed_spans(runtime.written(suffixes.shared_spans(suffixes.suffix_rows(classes)), "found")))
+
+
+def brute_coverage(rows, least):
+    usable = [(i, words.words(t), s.strip().lower() == "train") for i, t, s, *_ in rows if t and s and s.strip().lower() in ("train", "dev", "test") and len(words.words(t)) >= least]
+    grams = lambda w: [tuple(w[k : k + 5]) + (() if len(w) >= 5 else ("end",)) for k in range(max(1, len(w) - 4))]
+    sides = {side: {g for _, w, t in usable if t == side for g in grams(w)} for side in (True, False)}
+    return sorted((i, len(w), len({k + j for k, g in enumerate(grams(w)) if g in sides[not t] for j in range(min(5, len(w)))})) for i, w, t in usable)
 
 
 def test_cross_split_against_brute_force(spark):
     rows = [*split_rows(5), (900, "", "train", "s", 1), (901, None, "dev", "s", 1), (902, "few words", "train", "s", 1), (0, split_rows(5)[0][1], "dev", "s", 1)]
-    written, spans, links = cross(spark, rows, 20)
+    written, links = cross(spark, rows, 20)
     got = {(r.t, r.h) for r in suffixes.overlapping_pairs(written, links).collect()}
     assert got == brute_cross(rows, 20) and got
-    cover = {(r.id, r.split): (r.covered, r.n_words) for r in suffixes.span_coverage(written, spans).collect()}
-    assert all(c <= n for c, n in cover.values())
+    assert sorted((r.id, r.n_words, r.covered) for r in coverage(spark, rows, 20).collect()) == brute_coverage(rows, 20)
+
+
+def test_coverage_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "PIECE", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rnd = random.Random(11)
+        few = [f"c{i}" for i in range(3)]
+        rows = [(i, " ".join(rnd.choices(few, k=rnd.choice([1, 3, 4, 5, 9, 14]))), rnd.choice(["train"] * 5 + ["dev"]), "s", 1) for i in range(120)]
+        assert sorted((r.id, r.n_words, r.covered) for r in coverage(spark, rows, 1).collect()) == brute_coverage(rows, 1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_filter_of_held_out_keys(spark):
+    keys = [-(2**63), -1, 0, 1, 2**63 - 1, 987654321987654321]
+    bits = suffixes.held_filter(spark.createDataFrame([(k,) for k in keys], "key bigint"), spark)
+    assert suffixes._in_filter(bits, np.array(keys).view(np.uint64)).all()
+    assert not suffixes._in_filter(bits, np.arange(1000, 2000, dtype=np.uint64)).any()
 
 
 def test_coverage_counts_whole_records(spark):
@@ -139,8 +178,7 @@ def test_coverage_counts_whole_records(spark):
     rows = [(1, whole, "train", "s", 1), (2, whole, "dev", "s", 1), (3, long, "train", "s", 1), (4, long, "test", "s", 1), (5, f"{half} {' '.join(f'u{i}' for i in range(40))}", "train", "s", 1), (6, half, "dev", "s", 1), (7, "alone " * 30, "dev", "s", 1)]
     # ten copies of a word run make two texts of one split alike as well: equal contexts on both sides
     rows += [(10 + i, " ".join(f"v{j}" for j in range(20)) + f" z{i}", "train" if i % 2 else "dev", "s", 1) for i in range(10)]
-    written, spans, _ = cross(spark, rows, 20)
-    cover = {r.id: (r.covered, r.n_words) for r in suffixes.span_coverage(written, spans).collect()}
+    cover = {r.id: (r.covered, r.n_words) for r in coverage(spark, rows, 20).collect()}
     assert [cover[i] for i in (1, 2, 3, 4)] == [(60, 60)] * 2 + [(150, 150)] * 2
     assert cover[5][0] == cover[6][0] == 40 and cover[7][0] == 0
     assert all(cover[10 + i] == (20, 21) for i in range(10))
@@ -148,7 +186,7 @@ def test_coverage_counts_whole_records(spark):
 
 def test_short_records(spark):
     rows = [(1, "a b c d e", "train", "s", 1), (2, "a b c d x", "dev", "s", 1), (3, "e d c b a", "test", "s", 1), (4, "q", "train", "s", 1), (5, "q", "dev", "s", 1), (6, "a b c", "dev", "s", 1)]
-    written, _, links = cross(spark, rows, 1)
+    written, links = cross(spark, rows, 1)
     assert {(r.t, r.h) for r in suffixes.overlapping_pairs(written, links).collect()} == brute_cross(rows, 1) == {(1, 2), (1, 3), (4, 5)}
 
 
@@ -161,7 +199,7 @@ def test_candidates_do_not_depend_on_frequency():
         for k in rnd.sample(range(n), n // 5):
             other[k] = rnd.choice(WORDS)
         texts += [" ".join(base), " ".join(other[: n - rnd.choice([0, 0, 1]) * (n % 5 > 0)])]
-    offsets, flat = words.multiset(texts, words.WordHash())
+    offsets, flat = bags(texts)
     single = np.bincount((flat % np.uint64(suffixes.COUNTERS)).astype(np.int64), minlength=suffixes.COUNTERS)
     close = [i for i in range(0, len(texts), 2) if overlap(texts[i], texts[i + 1]) >= 0.8 and set(texts[i].split()) != set(texts[i + 1].split())]
     assert len(close) > 200
@@ -176,25 +214,24 @@ def test_candidates_do_not_depend_on_frequency():
 def test_pairs_of_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "BLOCK", 3)
     monkeypatch.setattr(suffixes, "HOT", 1)
-    monkeypatch.setattr(suffixes, "RARE", 1)
     monkeypatch.setattr(suffixes, "HOT_GROWTH", 2)
     rnd = random.Random(7)
     few = [f"c{i}" for i in range(9)]
     rows = [(i, " ".join(rnd.sample(few, rnd.choice([4, 5, 5, 6, 7]))), rnd.choice(["train", "dev", "test"]), "s", 1) for i in range(150)]
-    written, _, links = cross(spark, rows, 1)
+    written, links = cross(spark, rows, 1)
     assert {(r.t, r.h) for r in suffixes.overlapping_pairs(written, links).collect()} == brute_cross(rows, 1)
 
 
 def test_cross_split_empty(spark):
-    written, spans, links = cross(spark, [], 1)
-    assert suffixes.overlapping_pairs(written, links).count() == 0 and spans.count() == 0
+    written, links = cross(spark, [], 1)
+    assert suffixes.overlapping_pairs(written, links).count() == 0 and coverage(spark, [], 1).count() == 0
 
 
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=0, max_size=8), min_size=1, max_size=5))
 def test_class_digest_ignores_order(texts):
     joined = [" ".join(t) for t in texts] + [" ".join(reversed(t)) for t in texts]
-    offsets, flat = words.multiset(joined, words.WordHash())
+    offsets, flat = bags(joined)
     n = len(texts)
     parts = [flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
     assert parts[:n] == parts[n:]
