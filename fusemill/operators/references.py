@@ -1,7 +1,8 @@
 """References to records that do not exist (at their own time).
 
-Skew-aware split: references are pre-aggregated per key and period; the few heavy keys are checked against a
-broadcast table, all other keys by a shuffled anti-join, and both results are united.
+References are pre-aggregated per key and month. A month that lies wholly inside or outside the validity of its key is settled
+by its count; only months on a border are looked at row by row. Skew-aware split: the few heavy keys, those with a fixed share
+of the references, are checked against a broadcast table, all other keys by a shuffled anti-join; both results are united.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fusemill.runtime import table, written
 
-#: A key with at least this many references is heavy.
-HEAVY_ROWS = 20_000
+#: A key with at least this share of all references is heavy, so there are never more than 400 heavy keys.
+HEAVY_SHARE = 0.0025
 #: At most so many validity spans of heavy keys are broadcast (about 10 MB); beyond it every key is shuffled.
 BROADCAST_SPANS = 200_000
 
@@ -35,9 +36,27 @@ def validity_spans(targets: DataFrame) -> DataFrame:
     return targets.filter("key is not null and valid_from is not null").groupBy("target", "key", "valid_to").agg(F.min("valid_from").alias("valid_from"))
 
 
+REFERENCE = ["table_name", "field_name", "target", "key", "period"]
+
+
 def per_key_and_period(refs: DataFrame) -> DataFrame:
-    """Map-side combined counts per referring column, key and month (null where the reference has no time)."""
-    return refs.groupBy("table_name", "field_name", "target", "key", F.date_trunc("month", "at").alias("period")).agg(F.count("*").alias("n"))
+    """(table_name, field_name, target, key, period, n, first_at, last_at): map-side combined per referring column, key and month (null where the reference has no time)."""
+    month = F.date_trunc("month", "at").alias("period")
+    return refs.groupBy("table_name", "field_name", "target", "key", month).agg(F.count("*").alias("n"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+
+
+def _on(a: str, b: str, columns: list[str]) -> Column:
+    return reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns))
+
+
+def _verdicts(months: DataFrame, spans: DataFrame) -> DataFrame:
+    """``months`` that hold orphans or may: ``dead`` where no span of the key touches the month's references."""
+    m, s = months.alias("m"), spans.alias("s")
+    reaches = (F.col("s.valid_from") <= F.col("m.last_at")) & (F.col("s.valid_to").isNull() | (F.col("m.first_at") < F.col("s.valid_to")))
+    holds = (F.col("s.valid_from") <= F.col("m.first_at")) & (F.col("s.valid_to").isNull() | (F.col("m.last_at") < F.col("s.valid_to")))
+    touched = m.join(s, (F.col("m.target") == F.col("s.target")) & (F.col("m.key") == F.col("s.key")) & reaches, "left")
+    out = touched.groupBy(*[F.col(f"m.{c}") for c in REFERENCE]).agg(F.max("m.n").alias("n"), F.coalesce(F.max(holds), F.lit(False)).alias("alive"), F.count("s.target").alias("spans"))
+    return out.filter("not alive").select(*REFERENCE, "n", (F.col("spans") == 0).alias("dead"))
 
 
 def _unmatched(refs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -46,7 +65,39 @@ def _unmatched(refs: DataFrame, spans: DataFrame) -> DataFrame:
     return r.join(s, (F.col("r.target") == F.col("s.target")) & (F.col("r.key") == F.col("s.key")) & alive, "left_anti")
 
 
-def find_orphans(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+class _Split:
+    """The months of all references with their verdicts, light keys and heavy keys apart."""
+
+    def __init__(self, refs: DataFrame, targets: DataFrame, heavy_share: float):
+        spans = validity_spans(targets)
+        self.months = written(per_key_and_period(refs), "months")
+        total = self.months.agg(F.sum("n")).first()[0] or 0
+        per_key = self.months.groupBy("target", "key").agg(F.sum("n").alias("n"))
+        heavy = written(per_key.filter(F.col("n") >= F.lit(max(heavy_share * total, 1.0))).select("target", "key"), "heavy_keys")
+        heavy_spans = written(spans.join(F.broadcast(heavy), ["target", "key"], "left_semi"), "heavy_spans")
+        if heavy_spans.limit(BROADCAST_SPANS + 1).count() > BROADCAST_SPANS:
+            heavy, heavy_spans = heavy.limit(0), heavy_spans.limit(0)
+        # (references of these keys, their spans): a heavy key's side is small by its share, the light side is shuffled
+        hot, cold = F.broadcast(heavy), spans.join(F.broadcast(heavy), ["target", "key"], "left_anti")
+        self.parts = []
+        for how, near in (("left_semi", F.broadcast(heavy_spans)), ("left_anti", cold)):
+            verdicts = written(_verdicts(self.months.join(hot, ["target", "key"], how), near), "verdicts")
+            self.parts.append((verdicts, near, how == "left_semi"))
+
+    def rows(self, refs: DataFrame, dead_too: bool) -> DataFrame:
+        """The orphans among ``refs`` of months on a border, with ``dead_too`` also those of months without any span."""
+        dated = refs.withColumn("period", F.date_trunc("month", "at"))
+        out = []
+        for verdicts, near, heavy in self.parts:
+            # verdicts of heavy keys: at most one per column, heavy key and month
+            v = F.broadcast(verdicts) if heavy else verdicts
+            flagged = dated.alias("d").join(v.alias("v"), _on("d", "v", REFERENCE)).select("d.*", "v.dead")
+            border = _unmatched(flagged.filter("not dead"), near)
+            out.append(border.unionByName(flagged.filter("dead")) if dead_too else border)
+        return out[0].unionByName(out[1])
+
+
+def find_orphans(refs: DataFrame, targets: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
     """References without a target row alive at their time: valid_from <= at and (valid_to null or at < valid_to).
 
     ``refs`` as from :func:`references_of`, ``targets`` (target, key, valid_from, valid_to). Returns distinct
@@ -54,24 +105,21 @@ def find_orphans(refs: DataFrame, targets: DataFrame, heavy_rows: int = HEAVY_RO
     (nothing is alive then); a null row_id is reported as null; repeated rows count once; empty targets make every
     reference an orphan; empty references give an empty result. Extra columns are ignored.
     """
-    spans = validity_spans(targets)
-    heavy = written(per_key_and_period(refs).groupBy("target", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= heavy_rows).select("target", "key"), "heavy_keys")
-    heavy_spans = written(spans.join(F.broadcast(heavy), ["target", "key"], "left_semi"), "heavy_spans") if heavy.limit(BROADCAST_SPANS + 1).count() <= BROADCAST_SPANS else None
-    columns = ["table_name", "row_id", "field_name", "at"]
-    if heavy_spans is None or heavy_spans.limit(BROADCAST_SPANS + 1).count() > BROADCAST_SPANS or heavy.isEmpty():
-        return _unmatched(refs, spans).select(*columns).distinct()
-    hot = _unmatched(refs.join(F.broadcast(heavy), ["target", "key"], "left_semi"), F.broadcast(heavy_spans))
-    cold = _unmatched(refs.join(F.broadcast(heavy), ["target", "key"], "left_anti"), spans)
-    return hot.select(*columns).unionByName(cold.select(*columns)).distinct()
-
-
-def orphan_report(refs: DataFrame, orphans: DataFrame) -> DataFrame:
-    """(table_name, field_name, period, n_references, n_orphans): distinct references and orphans per table and month."""
-    per = ["table_name", "field_name", F.date_trunc("month", "at").alias("period")]
-    total = refs.select("table_name", "row_id", "field_name", "at").distinct().groupBy(*per).agg(F.count("*").alias("n_references"))
-    lost = orphans.groupBy(*per).agg(F.count("*").alias("n_orphans"))
-    same = (F.col("t.table_name") == F.col("o.table_name")) & (F.col("t.field_name") == F.col("o.field_name")) & F.col("t.period").eqNullSafe(F.col("o.period"))
-    return total.alias("t").join(lost.alias("o"), same, "left").select("t.table_name", "t.field_name", "t.period", "t.n_references", F.coalesce("o.n_orphans", F.lit(0)).alias("n_orphans"))
+    return _Split(refs, targets, heavy_share).rows(refs, True).select("table_name", "row_id", "field_name", "at").distinct()
+
+
+def orphan_report(refs: DataFrame, targets: DataFrame, heavy_share: float = HEAVY_SHARE) -> DataFrame:
+    """(table_name, field_name, period, n_references, n_orphans): distinct references and orphans per table and month.
+
+    The counts of months without any span and those of border rows, of heavy and of light keys, are added up.
+    """
+    one = written(refs.select("table_name", "row_id", "field_name", "target", "key", "at").distinct(), "references")
+    split = _Split(one, targets, heavy_share)
+    per = ["table_name", "field_name", "period"]
+    counts = [split.months.select(*per, F.col("n").alias("n_references"), F.lit(0).cast("long").alias("n_orphans"))]
+    counts += [v.filter("dead").select(*per, F.lit(0).cast("long").alias("n_references"), F.col("n").alias("n_orphans")) for v, _, _ in split.parts]
+    counts.append(split.rows(one, False).select(*per, F.lit(0).cast("long").alias("n_references"), F.lit(1).cast("long").alias("n_orphans")))
+    return reduce(DataFrame.unionByName, counts).groupBy(*per).agg(F.sum("n_references").alias("n_references"), F.sum("n_orphans").alias("n_orphans"))
 
 
 def retrieval_references(spark, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -98,7 +146,7 @@ def p3_found(spark, folder: str) -> DataFrame:
 
 def p3_report(spark, folder: str) -> DataFrame:
     refs, targets = retrieval_references(spark, folder)
-    return orphan_report(refs, find_orphans(refs, targets))
+    return orphan_report(refs, targets)
 
 
 _CASES = f"""

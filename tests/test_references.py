@@ -33,10 +33,29 @@ def test_orphans_at_their_time(spark):
 
 def test_heavy_keys_give_the_same(spark):
     plain = R.find_orphans(refs(spark, CASES), targets(spark, ALIVE)).collect()
-    heavy = R.find_orphans(refs(spark, CASES), targets(spark, ALIVE), heavy_rows=2).collect()
+    heavy = R.find_orphans(refs(spark, CASES), targets(spark, ALIVE), heavy_share=0.2).collect()
     assert sorted(map(str, plain)) == sorted(map(str, heavy))
 
 
+def test_months_settled_by_count_and_by_row(spark):
+    import random
+
+    rnd = random.Random(5)
+    day = lambda: D(2025, rnd.randint(1, 6), rnd.randint(1, 28))
+    cases = [(i, rnd.choice([1, 1, 1, 2, 3, 4, 5, 6]), rnd.choice([day(), day(), day(), None])) for i in range(400)]
+    alive = []
+    for key in (1, 2, 3, 4):
+        for _ in range(rnd.randint(1, 4)):
+            a, b = sorted((day(), day()))
+            alive.append((key, a, rnd.choice([b, b, None])))
+    want = brute(cases, alive)
+    for share in (0.0025, 0.3, 0.9):
+        got = R.find_orphans(refs(spark, cases), targets(spark, alive), share)
+        assert {r.row_id for r in got.collect()} == want
+        report = R.orphan_report(refs(spark, cases + cases[:50]), targets(spark, alive), share).collect()
+        assert sum(r.n_orphans for r in report) == len(want) and sum(r.n_references for r in report) == 400
+
+
 def test_empty_sides(spark):
     assert R.find_orphans(refs(spark, []), targets(spark, ALIVE)).count() == 0
     assert R.find_orphans(refs(spark, CASES), targets(spark, [])).count() == len({c[0] for c in CASES})
@@ -44,7 +63,7 @@ def test_empty_sides(spark):
 
 def test_report_counts_per_month(spark):
     r = refs(spark, CASES)
-    out = {str(x.period): (x.n_references, x.n_orphans) for x in R.orphan_report(r, R.find_orphans(r, targets(spark, ALIVE))).collect()}
+    out = {str(x.period): (x.n_references, x.n_orphans) for x in R.orphan_report(r, targets(spark, ALIVE)).collect()}
     assert out["2025-01-01 00:00:00"] == (3, 1) and out["None"] == (1, 1)
 
 
