@@ -90,11 +90,14 @@ def tasks_for(rows: int, per_task: int, least: int = 1) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy per row: use all cores even where the input is a few small files.
+    """For work that is heavy per row: use all cores even where the input is a single small file.
 
-    Decided from the sizes of the files behind ``df``, so no part of the plan runs for it.
+    A plan without shuffles knows its partitions; of others only the estimated size is looked at, so no part of the plan runs for it.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    scanned = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    split = df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return df.repartition(2 * cores) if scanned < cores * split else df
+    spark = df.sparkSession
+    cores, execution = spark.sparkContext.defaultParallelism, df._jdf.queryExecution()
+    if execution.executedPlan().nodeName() == "AdaptiveSparkPlan":
+        small = execution.optimizedPlan().stats().sizeInBytes() < cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    else:
+        small = execution.toRdd().getNumPartitions() < cores
+    return df.repartition(2 * cores) if small else df
