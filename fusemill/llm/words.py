@@ -87,23 +87,35 @@ class WordHash(dict):
 
 def sequences(texts: list[str], known: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, hashes): each text's words in their order as uint64."""
-    hashes = [[known[w] for w in words(t)] for t in texts]
-    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
-    offsets = np.concatenate([[0], np.cumsum(sizes)])
-    return offsets, np.fromiter(chain.from_iterable(hashes), np.uint64, int(offsets[-1]))
+    found = [words(t) for t in texts]
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))])
+    return offsets, np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.uint64, int(offsets[-1]))
 
 
 def multiset(offsets: np.ndarray, flat: np.ndarray) -> np.ndarray:
-    """Elements of every sequence, sorted and distinct: the i-th repeat of a word is an element of its own."""
+    """Distinct elements of every sequence: the i-th repeat of a word is an element of its own."""
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((flat, doc))
-    flat, doc = flat[order], doc[order]
+    order = np.argsort(flat)
+    if len(offsets) <= 1 << 15:  # small integers are sorted by radix
+        order = order[np.argsort(doc[order].astype(np.int16), kind="stable")]
+    else:
+        order = order[np.argsort(doc[order], kind="stable")]
+    flat = flat[order]
     fresh = np.ones(len(flat), bool)
     fresh[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
     start = np.maximum.accumulate(np.where(fresh, np.arange(len(flat)), 0))
     repeat = (np.arange(len(flat)) - start).astype(np.uint64)
-    flat = np.where(repeat == 0, flat, mix(flat + repeat * _GOLDEN))
-    return flat[np.lexsort((flat, doc))]
+    return np.where(repeat == 0, flat, mix(flat + repeat * _GOLDEN))
+
+
+def digests_of(offsets: np.ndarray, flat: np.ndarray, ordered: bool) -> pa.Array:
+    """128-bit digests of the sequences; without ``ordered`` the same for every order of the words."""
+    size = np.diff(offsets)
+    if ordered:
+        flat = flat + (np.arange(len(flat)) - np.repeat(offsets[:-1], size)).astype(np.uint64) * _GOLDEN
+    parts = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat + salt))]) for salt in (_GOLDEN, np.uint64(0xD1342543DE82EF95))]
+    both = np.stack([mix(p[offsets[1:]] - p[offsets[:-1]] + size.astype(np.uint64)) for p in parts], axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(size), [None, pa.py_buffer(np.ascontiguousarray(both).tobytes())]).cast(pa.binary())
 
 
 def parity_sketch(offsets: np.ndarray, elements: np.ndarray) -> np.ndarray:
@@ -138,11 +150,8 @@ def digested(df: DataFrame, text: str, least_words: int = 1, ordered: bool = Fal
             for begin in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(begin, SLICE)
                 offsets, flat = sequences([t or "" for t in batch.column(at).to_pylist()], known)
-                flat = flat if ordered else multiset(offsets, flat)
                 size = np.diff(offsets)
-                raw = memoryview(flat.tobytes())
-                digests = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary()), pa.array(size, pa.int32())], names=[*batch.schema.names, "cls", "n"])
+                out = pa.RecordBatch.from_arrays([*batch.columns, digests_of(offsets, flat, ordered), pa.array(size, pa.int32())], names=[*batch.schema.names, "cls", "n"])
                 yield out.filter(pa.array(size >= least_words))
 
     schema = T.StructType([*df.schema.fields, T.StructField("cls", T.BinaryType()), T.StructField("n", T.IntegerType())])

@@ -55,6 +55,21 @@ def test_mix_meets_shares_and_caps(spark):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
 
 
+def test_exact_mix_meets_every_share_that_can_be_met(spark):
+    rows = sample()
+    targets = spark.createDataFrame([("web", 0.4, 1), ("news", 0.3, 2), ("wiki", 0.2, 3), ("lecture", 0.1, 2)], TARGETS)
+    chosen, shares = mixing.mix(spark.createDataFrame(rows, DOCS).repartition(3), "doc_id", "text", "source", targets)
+    by = {r.source: r for r in shares.collect()}
+    size = sum(r.n_tokens for r in by.values())
+    assert all(abs(by[s].actual_share - share / 0.9) < 2 / size + 1e-9 for s, share in (("web", 0.4), ("news", 0.3), ("wiki", 0.2)))
+    assert all(r.repeats <= {"web": 1, "news": 2, "wiki": 3}[r.source] for r in chosen.collect())
+    # no larger mix keeps the shares: some source is used up
+    texts = {s: {t for _, t, x, *_ in rows if t and x and x.strip().lower() == s} for s in ("web", "news", "wiki")}
+    assert any(by[s].n_docs == len(texts[s]) and by[s].most_repeats == by[s].max_repeats for s in texts)
+    assert mixing.exact_budgets({"a": (0.5, 1), "b": (0.5, 2)}, {"a": 100, "b": 30}) == {"a": 60, "b": 60}
+    assert mixing.exact_budgets({"a": (0.5, 1)}, {}) == {"a": 0}
+
+
 def test_mix_of_nothing(spark):
     targets = spark.createDataFrame([("web", 0.5, 1)], TARGETS)
     chosen, shares = mixing.mix(spark.createDataFrame([], DOCS), "doc_id", "text", "source", targets)

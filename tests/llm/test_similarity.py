@@ -231,7 +231,10 @@ def test_cross_split_empty(spark):
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=0, max_size=8), min_size=1, max_size=5))
 def test_class_digest_ignores_order(texts):
     joined = [" ".join(t) for t in texts] + [" ".join(reversed(t)) for t in texts]
-    offsets, flat = bags(joined)
     n = len(texts)
-    parts = [flat[a:b].tobytes() for a, b in zip(offsets, offsets[1:])]
-    assert parts[:n] == parts[n:]
+    offsets, flat = words.sequences(joined, words.WordHash())
+    free, fixed = (words.digests_of(offsets, flat, ordered).to_pylist() for ordered in (False, True))
+    assert free[:n] == free[n:]
+    assert all((free[i] == free[j]) == (Counter(texts[i]) == Counter(texts[j])) and (fixed[i] == fixed[j]) == (texts[i] == texts[j]) for i in range(n) for j in range(n))
+    parts = [set(bags(joined)[1][a:b].tolist()) for a, b in zip(offsets, offsets[1:])]
+    assert parts[:n] == parts[n:] and [len(p) for p in parts] == np.diff(offsets).tolist()
