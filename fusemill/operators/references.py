@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from fusemill.runtime import table, written
 
-#: A key with at least this share of all references is heavy, so there are never more than 400 heavy keys.
-HEAVY_SHARE = 0.0025
+#: A key with at least this share of all references is heavy, so there are never more than 100 heavy keys.
+HEAVY_SHARE = 0.01
 #: At most so many validity spans of heavy keys are broadcast (about 10 MB); beyond it every key is shuffled.
 BROADCAST_SPANS = 200_000
 
