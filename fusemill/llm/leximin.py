@@ -2,26 +2,108 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fusemill.operators.ranking import running_total
 from fusemill.runtime import table, written
 
+#: Sorted scores counted at once inside a task.
+PIECE = 400_000
+#: Edges of pieces (two per piece) that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_EDGES = 200_000
+
 
-def percentiles(df: DataFrame, group: str, item: str, scores: list[str]) -> DataFrame:
-    """(group, item, which, percentile): the share of the group's given scores at or below the item's score.
+def _counted(rows: DataFrame, kinds: int) -> DataFrame:
+    """Counts of values at or below each row's, from rows sorted by (g, which, value).
 
-    A score's scale and spread play no part. Null and NaN scores have no row. Distinct values are counted with
-    map-side combination and added up by :func:`running_total`, so no group is sorted in one task.
+    A run of one (g, which) that lies inside a piece is final: ``upto`` of ``total``. Of the first and last run of a piece, ``piece`` is
+    set and both count this piece only; an extra row per such run (i null) has what its neighbours need: ``first``, ``n_first``, ``last``.
+    Kinds from ``kinds`` on stand for missing scores, whose counts mean nothing.
+    """
+    group_type, item_type = rows.schema["g"].dataType.simpleString(), rows.schema["i"].dataType.simpleString()
+
+    def piece_rows(whole: pa.Table, piece: int) -> Iterator[pa.RecordBatch]:
+        g, which, value = whole.column("g").combine_chunks(), np.asarray(whole.column("which")), np.asarray(whole.column("value"))
+        n = len(which)
+        fresh = np.ones(n, bool)
+        if n > 1:
+            fresh[1:] = pc.not_equal(g[1:], g[:-1]).to_numpy(zero_copy_only=False) | (which[1:] != which[:-1])
+        starts = np.flatnonzero(fresh)
+        run = np.cumsum(fresh) - 1
+        sizes = np.diff(np.append(starts, n))
+        other = fresh.copy()
+        other[1:] |= value[1:] != value[:-1]
+        ends = np.append(np.flatnonzero(other)[1:], n)
+        upto = ends[np.cumsum(other) - 1] - starts[run]
+        outer = (run == 0) | (run == len(starts) - 1)
+        numbers = lambda x, null=None: pa.array(x, pa.int64(), mask=null)
+        yield pa.RecordBatch.from_arrays(
+            [g, whole.column("i").combine_chunks(), pa.array(which % kinds, pa.int32()), whole.column("weight").combine_chunks(), pa.array(which >= kinds), pa.array(value), numbers(upto), numbers(sizes[run]), numbers(np.full(n, piece), ~outer), pa.nulls(n, pa.float64()), numbers(np.zeros(n, np.int64)), pa.nulls(n, pa.float64())],
+            names=names,
+        )
+        at = np.unique([0, len(starts) - 1])
+        head, tail = starts[at], starts[at] + sizes[at] - 1
+        k = len(at)
+        yield pa.RecordBatch.from_arrays(
+            [g.take(pa.array(head)), pa.nulls(k, whole.schema.field("i").type), pa.array(which[head] % kinds, pa.int32()), pa.nulls(k, pa.float64()), pa.array(which[head] >= kinds), pa.nulls(k, pa.float64()), numbers(np.zeros(k, np.int64)), numbers(sizes[at]), numbers(np.full(k, piece)), pa.array(value[head]), numbers(upto[head]), pa.array(value[tail])],
+            names=names,
+        )
+
+    names = ["g", "i", "which", "weight", "missing", "value", "upto", "total", "piece", "first", "n_first", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        held, number = 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if batch.num_rows:
+                waiting.append(batch)
+                held += batch.num_rows
+            if held >= PIECE:
+                yield from piece_rows(pa.Table.from_batches(waiting), number)
+                waiting, held, number = [], 0, number + 1
+        if held:
+            yield from piece_rows(pa.Table.from_batches(waiting), number)
+
+    schema = f"g {group_type}, i {item_type}, which int, weight double, missing boolean, value double, upto bigint, total bigint, piece bigint, first double, n_first bigint, last double"
+    return rows.mapInArrow(run, schema)
+
+
+def percentiles(base: DataFrame, group: str, item: str, scores: list[str], weights: list[str]) -> DataFrame:
+    """(group, item, which, weight, percentile): the share of the group's given scores at or below the item's score; 0 for a missing one.
+
+    A score's scale and spread play no part. All scores are range-partitioned once by (group, kind, value, item), so neither a group nor
+    a value that many items share is sorted in one task; each piece counts on its own, and the edges of the pieces, two
+    rows each, tell how many values lie before it and how far its last value goes on.
     """
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("which"), F.col(s).cast("double").alias("value")) for i, s in enumerate(scores)]))
-    long = df.select(group, item, each.alias("x")).select(group, item, "x.which", (F.col("x.value") + F.lit(0.0)).alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    counts = long.groupBy(group, "which", "value").agg(F.count("*").alias("n"))
-    at_or_below = running_total(counts, [group, "which"], "value", F.col("n"), "upto")
-    totals = counts.groupBy(group, "which").agg(F.sum("n").alias("total"))
-    share = at_or_below.join(totals, [group, "which"]).select(group, "which", "value", (F.col("upto") / F.col("total")).alias("percentile"))
-    return long.join(share, [group, "which", "value"]).select(group, item, "which", "percentile")
+    kinds = len(scores)
+    each = [F.struct(F.lit(k).alias("kind"), (F.col(s).cast("double") + F.lit(0.0)).alias("value"), F.col(w).alias("weight")) for k, (s, w) in enumerate(zip(scores, weights))]
+    long = base.select(F.col(group).alias("g"), F.col(item).alias("i"), F.explode(F.array(*each)).alias("x"))
+    given = F.col("x.value").isNotNull()
+    long = long.select("g", "i", F.when(given, F.col("x.kind")).otherwise(F.col("x.kind") + kinds).alias("which"), F.coalesce("x.value", F.lit(0.0)).alias("value"), "x.weight")
+    counted = written(_counted(long.repartitionByRange("g", "which", "value", "i").sortWithinPartitions("g", "which", "value"), kinds), "percentiles")
+    edges = counted.filter("i is null")
+    run = Window.partitionBy("g", "which", "missing")
+    onward = F.sum("n_first").over(run.partitionBy("g", "which", "missing", "first").orderBy(F.desc("piece")))
+    edges = edges.withColumn("onward", onward).select(
+        "g", "which", "missing", "piece",
+        F.coalesce(F.sum("total").over(run.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
+        F.sum("total").over(run).alias("whole"),
+        "last",
+        F.when(F.lead("first").over(run.orderBy("piece")) == F.col("last"), F.lead("onward").over(run.orderBy("piece"))).otherwise(0).alias("ties"),
+    )
+    edges = written(edges, "edges")
+    side = F.broadcast(edges) if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES else edges
+    rows = counted.filter("i is not null").alias("c").join(side.alias("e"), ["g", "which", "missing", "piece"], "left")
+    upto = F.col("upto") + F.coalesce("ahead", F.lit(0)) + F.when(F.col("value") == F.col("e.last"), F.col("ties")).otherwise(0)
+    share = F.when(F.col("missing"), 0.0).otherwise(upto / F.coalesce("whole", "total"))
+    return rows.select(F.col("g").alias(group), F.col("i").alias(item), "which", "weight", share.alias("percentile"))
 
 
 def leximin_vectors(df: DataFrame, group: str, item: str, scores: list[str], weights: dict[str, Column] | None = None) -> DataFrame:
@@ -33,12 +115,13 @@ def leximin_vectors(df: DataFrame, group: str, item: str, scores: list[str], wei
     """
     weights = weights or {}
     names = [f"_w{i}" for i in range(len(scores))]
-    nan_free = [F.max(F.when(~F.isnan(F.col(s).cast("double")), F.col(s))).alias(s) for s in scores]
+    best = [F.max(F.when(~F.isnan(F.col(s).cast("double")), F.col(s))).alias(s) for s in scores]
     weight = [F.coalesce(F.max(weights[s]), F.lit(1.0)).cast("double").alias(w) if s in weights else F.lit(1.0).alias(w) for s, w in zip(scores, names)]
-    base = written(df.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*nan_free, *weight), "score_items")
-    per = percentiles(base, group, item, scores).groupBy(group, item).agg(*[F.max(F.when(F.col("which") == i, F.col("percentile"))).alias(f"_p{i}") for i in range(len(scores))])
-    short = [F.lit(1.0) - F.col(w) * (F.lit(1.0) - F.coalesce(F.col(f"_p{i}"), F.lit(0.0))) for i, w in enumerate(names)]
-    return base.select(group, item, *names).join(per, [group, item], "left").select(group, item, F.array_sort(F.transform(F.array(*short), lambda x: F.round(x, 9))).alias("vector"))
+    base = df.filter(F.col(group).isNotNull() & F.col(item).isNotNull()).groupBy(group, item).agg(*best, *weight)
+    short = F.round(F.lit(1.0) - F.col("weight") * (F.lit(1.0) - F.col("percentile")), 9)
+    each = percentiles(base, group, item, scores, names).withColumn("short", short)
+    kept = [F.max(F.when(F.col("which") == i, F.col("short"))) for i in range(len(scores))]
+    return each.groupBy(group, item).agg(F.array_sort(F.array(*kept)).alias("vector"))
 
 
 def leximin_rank(vectors: DataFrame, group: str, item: str, most: int | None = None) -> DataFrame:

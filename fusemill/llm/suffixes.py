@@ -32,7 +32,7 @@ AFTER = 4
 #: Words in common from which neighbours are candidates; a record with fewer words must stand there whole.
 LONG = RUN + AFTER
 #: Suffixes compared at once inside a task.
-PIECE = 400_000
+PIECE = 120_000
 #: Bits of the filter of held-out keys, 8 MB whatever the corpus; where it fills up, fewer keys of the other split are left out early.
 FILTER_BITS = 1 << 26
 #: Elements held by at most ``HOT`` texts are keys of candidates alone; each ``HOT_GROWTH``-fold frequency joins one more to
@@ -160,7 +160,7 @@ def shared_spans(suffixes: DataFrame) -> DataFrame:
 
     def table_of(what: str, n: int, **columns) -> pa.RecordBatch:
         kinds = {"what": pa.string(), "train": pa.bool_(), "held": pa.bool_()}
-        return pa.RecordBatch.from_arrays([pa.array([what] * n, pa.string()) if c == "what" else pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names=names)
+        return pa.RecordBatch.from_arrays([pa.repeat(what, n) if c == "what" else pa.array(columns[c], kinds.get(c, pa.int64())) if c in columns else pa.nulls(n, kinds.get(c, pa.int64())) for c in names], names=names)
 
     def piece(key, after, num, place) -> Iterator[pa.RecordBatch]:
         train, held, start = (place & 2) > 0, (place & 1) > 0, place >> 2

@@ -77,7 +77,7 @@ def test_leaks_against_brute_force(spark, monkeypatch):
 
 def test_item_blocks_give_the_same(spark, monkeypatch):
     docs, items = case()
-    monkeypatch.setattr(fmindex, "BLOCK_CHARS", 700)
+    monkeypatch.setattr(fmindex, "BLOCK_PHRASES", 20)
     assert {(r.doc_id, r.item_id) for r in found(spark, docs, items)} == brute([d for d in docs if d[0] is not None], items)
 
 

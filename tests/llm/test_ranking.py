@@ -88,6 +88,17 @@ def test_leximin_against_brute_force(spark):
     assert {(r.g, r.item) for r in leximin.leximin_rank(vectors, "g", "item", 1).collect()} == {k for k, p in want.items() if p == 1}
 
 
+def test_percentiles_across_pieces(spark, monkeypatch):
+    monkeypatch.setattr(leximin, "PIECE", 4)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        for limit in (200_000, 0):
+            monkeypatch.setattr(leximin, "BROADCAST_EDGES", limit)
+            test_leximin_against_brute_force(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_scale_plays_no_part(spark):
     rows = [(1, i, float(i % 7), float((i * 5) % 11), "x") for i in range(20)]
     big = [(g, i, a * 1e6 - 3, math.exp(b), w) for g, i, a, b, w in rows]
