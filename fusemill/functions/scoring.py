@@ -56,12 +56,13 @@ TF: dict[str, Callable[..., Column]] = {
 }
 
 
-def term_weight(method: str, tf: Column, df: Column, dl: Column, n: Column, avg: Column, k1: float = K1, b: float = B, delta: float = DELTA) -> Column:
-    """The weight of a posting; an unknown method is an error."""
+def term_weight(method: str, tf: Column, df: Column, dl: Column, n: Column, avg: Column, k1: float = K1, b: float = B, delta: float = DELTA, allow_negative: bool = False) -> Column:
+    """The weight of a posting; an unknown method is an error. ``allow_negative`` takes the floor off the robertson variant."""
     if method not in IDF:
         raise ValueError(f"unknown method {method!r}; choose from {', '.join(IDF)}")
     d = [c.cast("double") for c in (tf, df, dl, n, avg)]
-    return IDF[method](d[1], d[3]) * TF[method](d[0], d[2], d[4], k1, b, delta)
+    idf = robertson_idf_signed if allow_negative and method == "robertson" else IDF[method]
+    return idf(d[1], d[3]) * TF[method](d[0], d[2], d[4], k1, b, delta)
 
 
 def saturated(logit: Column, mask: Column | None = None) -> Column:

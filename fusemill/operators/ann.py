@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusemill.functions.vectors import dot, opposite_distance, reciprocal_distance
-from fusemill.operators.dense import nearest_of
+from fusemill.operators.dense import nearest_in_cells, nearest_of
 from fusemill.operators.ranking import top_k
 
 HEAD_RATIO, REPLICAS, PROBES = 0.1, 8, 256
 SCORES = {"dot": dot, "reciprocal": reciprocal_distance, "opposite": opposite_distance}
 
 
-def heads(vectors: DataFrame, ratio: float = HEAD_RATIO) -> DataFrame:
-    """(cluster_id, centroid): every 1/ratio-th id is a head; ids are assumed to be spread evenly."""
+def heads(vectors: DataFrame, ratio: float = HEAD_RATIO, residue: int = 0) -> DataFrame:
+    """(cluster_id, centroid): every 1/ratio-th id, those of the ``residue``, is a head; ids are assumed to be spread evenly."""
     step = max(1, round(1 / ratio))
-    return vectors.filter(F.pmod("doc_id", F.lit(step)) == 0).select(F.col("doc_id").alias("cluster_id"), F.col("vector").alias("centroid"))
+    return vectors.filter(F.pmod("doc_id", F.lit(step)) == residue).select(F.col("doc_id").alias("cluster_id"), F.col("vector").alias("centroid"))
 
 
 def kmeans_heads(vectors: DataFrame, clusters: int, seed: int = 1, rounds: int = 10) -> DataFrame:
@@ -40,6 +40,15 @@ def assign(vectors: DataFrame, head: DataFrame, replicas: int = REPLICAS) -> Dat
     return probe(vectors.select(F.col("doc_id").alias("qid"), "vector"), head, replicas).select("cluster_id", F.col("qid").alias("doc_id"))
 
 
+def assign_in_cells(vectors: DataFrame, head: DataFrame, replicas: int = REPLICAS, probes: int = 8) -> DataFrame:
+    """As :func:`assign`, approximately, for collections whose heads are too many to compare all: about the square root of the heads serve as coarse cells."""
+    step = max(1, round(head.count() ** 0.5))
+    targets = head.select(F.col("cluster_id").alias("doc_id"), F.col("centroid").alias("vector"))
+    cells = targets.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
+    found = nearest_in_cells(vectors.select(F.col("doc_id").alias("qid"), "vector"), targets, cells, replicas, probes)
+    return found.select(F.col("doc_id").alias("cluster_id"), F.col("qid").alias("doc_id"))
+
+
 def candidates(probed: DataFrame, clusters: DataFrame) -> DataFrame:
     """Distinct (qid, doc_id) of the probed clusters; a document in several clusters counts once, absent clusters give none."""
     return probed.join(clusters, "cluster_id").select("qid", "doc_id").distinct()

@@ -15,6 +15,8 @@ from fusemill.runtime import written
 
 #: Query vectors broadcast at once (64 dimensions: 8 MB); more are taken in blocks of this size against all rows.
 QUERY_BLOCK = 16_384
+#: Rows of a cell that meet its targets in one task.
+CELL_ROWS = 50_000
 METRICS = ("dot", "reciprocal", "opposite")
 
 
@@ -64,6 +66,65 @@ def knn_exact(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "dot"
     return top_k(found, ["qid"], "score", "doc_id", k)
 
 
+def all_scores(queries: DataFrame, corpus: DataFrame, metric: str = "dot", digits: int = 6) -> DataFrame:
+    """(qid, doc_id, score) of every query with every row, streamed from the tasks for an aggregate to follow; nothing is ranked or shuffled.
+
+    Queries are broadcast in blocks of at most ``QUERY_BLOCK``. Meant for losses over batches and query sets; same null rules as :func:`knn_exact`.
+    """
+    spark = corpus.sparkSession
+    wanted = written(queries.select("qid", "vector").filter("qid is not null and vector is not null"), "dense_queries")
+    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        part = wanted.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).toArrow()
+        shared = spark.sparkContext.broadcast((np.asarray(part.column("qid"), dtype=np.int64), np.array(part.column("vector").to_pylist(), dtype=np.float64)))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            qid, q = shared.value
+            for batch in batches:
+                doc = np.asarray(batch.column(0), dtype=np.int64)
+                x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(doc), -1)
+                for at in range(0, len(qid) if len(doc) else 0, 256):
+                    score = np.round(_scores(metric, q[at : at + 256], x), digits)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + 256], len(doc))), pa.array(np.tile(doc, len(score))), pa.array(score.ravel())], names=["qid", "doc_id", "score"])
+
+        here = corpus.select("doc_id", "vector").filter("doc_id is not null and vector is not null").mapInArrow(run, "qid bigint, doc_id bigint, score double")
+        found = here if found is None else found.unionByName(here)
+    return found
+
+
+def nearest_in_cells(rows: DataFrame, targets: DataFrame, cells: DataFrame, k: int, probes: int, homes: int = 3, metric: str = "dot", digits: int = 6) -> DataFrame:
+    """As :func:`nearest_of`, approximately, for a target side that grows with the rows: work per row is ``probes`` cells instead of all targets.
+
+    ``cells`` (doc_id, vector) are coarse centres, say the square root of the targets. Every target goes to its ``homes`` nearest cells, every row to its
+    ``probes`` nearest; they meet cell by cell, the rows of a cell in chunks of ``CELL_ROWS``, so neither side of a task grows with the data.
+    """
+    placed = nearest_of(targets.select(F.col("doc_id").alias("qid"), "vector"), cells, homes, metric).select(F.col("qid").alias("doc_id"), F.col("doc_id").alias("cell")).join(targets.select("doc_id", "vector"), "doc_id")
+    asked = nearest_of(rows, cells, probes, metric).select("qid", F.col("doc_id").alias("cell")).join(rows.select("qid", "vector"), "qid")
+    asked = written(asked, "asked")
+    chunks = asked.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("chunks"))
+    asked = asked.join(chunks, "cell").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int")).drop("chunks")
+    placed = placed.join(chunks, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        matrix = lambda t: np.asarray(t.column("vector").combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1)
+        names = ["qid", "doc_id", "score"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+        right = right.sort_by("doc_id")
+        doc, x, qid, q = np.asarray(right.column("doc_id"), dtype=np.int64), matrix(right), np.asarray(left.column("qid"), dtype=np.int64), matrix(left)
+        out = []
+        for at in range(0, len(qid), 1024):
+            score = np.round(_scores(metric, q[at : at + 1024], x), digits)
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            out.append((np.repeat(qid[at : at + 1024], top.shape[1]), doc[top].ravel(), np.take_along_axis(score, top, axis=1).ravel()))
+        return pa.table([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+
+    met = asked.groupBy("cell", "chunk").cogroup(placed.select("cell", "chunk", "doc_id", "vector").groupBy("cell", "chunk")).applyInArrow(run, "qid bigint, doc_id bigint, score double")
+    met = met.groupBy("qid", "doc_id").agg(F.max("score").alias("score"))  # a target has several cells
+    return top_k(met, ["qid"], "score", "doc_id", k)
+
+
 def nearest_of(rows: DataFrame, targets: DataFrame, k: int, metric: str = "dot", digits: int = 6) -> DataFrame:
     """(qid, rank, doc_id, score): the k best ``targets`` (doc_id, vector) for every one of many ``rows`` (qid, vector).
 

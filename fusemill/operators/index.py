@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fusemill.functions.scoring import B, DELTA, K1, term_weight
 from fusemill.operators.ranking import running_total
 
+#: Postings of one array of a packed index, at most.
+CHUNK = 100_000
+
 
 def tokens(df: DataFrame, key: str, analysed: Column) -> DataFrame:
     """(doc_id, dl, tokens) of every row with a key; an empty document keeps its row with dl 0."""
@@ -33,9 +36,9 @@ def corpus_stats(tok: DataFrame, average: float | None = None) -> DataFrame:
     return tok.agg(F.count("*").alias("n_docs"), mean.alias("avgdl"))
 
 
-def postings(tok: DataFrame, tf: DataFrame, method: str = "lucene", k1: float = K1, b: float = B, delta: float = DELTA, average: float | None = None) -> DataFrame:
+def postings(tok: DataFrame, tf: DataFrame, method: str = "lucene", k1: float = K1, b: float = B, delta: float = DELTA, average: float | None = None, allow_negative: bool = False) -> DataFrame:
     """(term, doc_id, weight): precomputed weights, so that a query only adds up. The statistics are one broadcast row."""
-    weight = term_weight(method, F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avgdl"), k1, b, delta)
+    weight = term_weight(method, F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avgdl"), k1, b, delta, allow_negative)
     return tf.join(document_frequencies(tf), "term").crossJoin(F.broadcast(corpus_stats(tok, average))).select("term", "doc_id", weight.alias("weight"))
 
 
@@ -83,9 +86,16 @@ def save(post: DataFrame, path: str, partitions: int | None = None) -> None:
     ranged.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
 
 
-def packed(post: DataFrame) -> DataFrame:
-    """(term, postings array<struct<doc_id, weight>>) sorted by document; for interchange, not for search.
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """(term, doc_id, weight) of a saved index, for any number of searches."""
+    return spark.read.schema("term string, doc_id bigint, weight double").parquet(path)
+
+
+def packed(post: DataFrame, key: str = "term", chunk: int = CHUNK) -> DataFrame:
+    """(term, chunk, postings array<struct<doc_id, weight>>) sorted by document; for interchange, not for search.
 
-    One array holds one term's postings; take stop terms out first.
+    No array holds more than ``chunk`` postings: those of a frequent term are numbered by range-partitioned running totals and cut
+    into chunks, so a term that stands in every document is nowhere collected whole.
     """
-    return post.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("postings"))
+    numbered = running_total(post.select(key, "doc_id", "weight"), [key], "doc_id", F.lit(1), "_n").withColumn("chunk", F.floor((F.col("_n") - 1) / F.lit(chunk)).cast("long"))
+    return numbered.groupBy(key, "chunk").agg(F.array_sort(F.collect_list(F.struct("doc_id", "weight"))).alias("postings"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fusemill.runtime import written
+
 CUTOFFS = (1, 5, 10, 20, 100)
 MRR_DEPTH = 10
 
@@ -24,6 +26,7 @@ def evaluate(ranking: DataFrame, qrels: DataFrame, denominator: str = "ranked",
     """
     if denominator not in ("ranked", "judged"):
         raise ValueError("denominator is 'ranked' or 'judged'")
+    ranking = written(ranking.select("qid", "rank", "doc_id"), "ranking")  # read twice below
     base = (ranking if denominator == "ranked" else qrels).select("qid").filter("qid is not null").distinct()
     if check and ranking.select("qid").join(qrels.select("qid"), "qid", "left_semi").isEmpty():
         raise ValueError("no ranked query is judged")
@@ -33,10 +36,28 @@ def evaluate(ranking: DataFrame, qrels: DataFrame, denominator: str = "ranked",
     return each.agg(mrr, *success, F.round(F.avg(F.when(F.col("first").isNotNull(), 1.0).otherwise(0.0)), 6).alias("success_all"), F.count("*").alias("n_queries"))
 
 
+#: Width of the score ranges that are added up apart, so that no exponential leaves the range of doubles.
+_RANGE = 500.0
+
+
+def soft_sums(scores: DataFrame, group: str, score: str, values: list[str] | None = None) -> DataFrame:
+    """(group, lse, mean_<value>...): log-sum-exp of the scores, and the means of ``values`` under their softmax.
+
+    One pass, combined map-side per group and range of scores; a group's few ranges are then put together from its greatest on.
+    """
+    values = values or []
+    b = F.floor(F.col(score) / _RANGE)
+    e = F.exp(F.col(score) - b * _RANGE)
+    sums = [F.sum(e).alias("s"), *[F.sum(e * F.col(v)).alias(f"v{i}") for i, v in enumerate(values)]]
+    ranges = scores.groupBy(group, b.alias("b")).agg(*sums)
+    each = ranges.groupBy(group).agg(F.max("b").alias("m"), F.collect_list(F.struct("b", "s", *[f"v{i}" for i in range(len(values))])).alias("r"))
+    total = lambda name: F.aggregate("r", F.lit(0.0), lambda acc, x: acc + x[name] * F.exp((x["b"] - F.col("m")) * _RANGE))
+    return each.select(group, (F.col("m") * _RANGE + F.log(total("s"))).alias("lse"), *[(total(f"v{i}") / total("s")).alias(f"mean_{v}") for i, v in enumerate(values)])
+
+
 def log_sum_exp(scores: DataFrame, group: str, score: str) -> DataFrame:
-    """(group, lse), stable: the maximum is taken out first. Both aggregates are combined map-side."""
-    most = scores.groupBy(group).agg(F.max(score).alias("_m"))
-    return scores.join(most, group).groupBy(group).agg((F.max("_m") + F.log(F.sum(F.exp(F.col(score) - F.col("_m"))))).alias("lse"))
+    """(group, lse)."""
+    return soft_sums(scores, group, score)
 
 
 def info_nce(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -47,10 +68,14 @@ def info_nce(scores: DataFrame, temperature: float = 1.0) -> DataFrame:
 
 
 def distillation(scores: DataFrame) -> DataFrame:
-    """One row (kl, ce) of (qid, doc_id, teacher, student): mean over queries of KL(teacher || student) and of cross entropy."""
-    parts = scores.join(log_sum_exp(scores, "qid", "teacher").withColumnRenamed("lse", "lt"), "qid").join(log_sum_exp(scores, "qid", "student").withColumnRenamed("lse", "ls"), "qid")
-    log_t, log_s = F.col("teacher") - F.col("lt"), F.col("student") - F.col("ls")
-    per = parts.groupBy("qid").agg(F.sum(F.exp(log_t) * (log_t - log_s)).alias("kl"), F.sum(-F.exp(log_t) * log_s).alias("ce"))
+    """One row (kl, ce) of (qid, doc_id, teacher, student): mean over queries of KL(teacher || student) and of cross entropy.
+
+    Both follow from sums per query: the means of the scores under the teacher and the two log-sum-exps.
+    """
+    t = soft_sums(scores, "qid", "teacher", ["teacher", "student"]).withColumnRenamed("lse", "lt")
+    s = log_sum_exp(scores, "qid", "student").withColumnRenamed("lse", "ls")
+    ce = F.col("ls") - F.col("mean_student")
+    per = t.join(s, "qid").select((F.col("mean_teacher") - F.col("lt") + ce).alias("kl"), ce.alias("ce"))
     return per.agg(F.round(F.avg("kl"), 6).alias("kl"), F.round(F.avg("ce"), 6).alias("ce"))
 
 
@@ -61,6 +86,17 @@ def mutual_regularisation(scores: DataFrame, sparse_to_dense: float = 1.0, dense
     return one.crossJoin(two).withColumn("both", F.round(F.col("d2s") * dense_to_sparse + F.col("s2d") * sparse_to_dense, 6))
 
 
+def balance(dense_loss: float, sparse_loss: float) -> tuple[float, float]:
+    """(dense_to_sparse, sparse_to_dense): weights from the losses of the first regularised step, each the other's share."""
+    total = dense_loss + sparse_loss
+    return sparse_loss / total, dense_loss / total
+
+
+def regularisation(step: Column, regulariser: Column, weight: float, warm_up: int) -> Column:
+    """What the regulariser adds to the loss at a step: nothing before ``warm_up``, then ``weight`` times it."""
+    return F.when(step < warm_up, F.lit(0.0)).otherwise(regulariser * weight)
+
+
 def flops(weights: DataFrame, n_docs: DataFrame) -> DataFrame:
     """One row (flops): sum over terms of the squared mean absolute weight; documents without the term count as 0."""
     per = weights.groupBy("term").agg(F.sum(F.abs("weight")).alias("total")).crossJoin(F.broadcast(n_docs.select("n_docs")))
@@ -68,6 +104,5 @@ def flops(weights: DataFrame, n_docs: DataFrame) -> DataFrame:
 
 
 def softmax(scores: DataFrame, group: str, score: str) -> DataFrame:
-    w = Window.partitionBy(group)
-    e = F.exp(F.col(score) - F.max(score).over(w))
-    return scores.withColumn("_e", e).withColumn("probability", F.col("_e") / F.sum("_e").over(w)).drop("_e")
+    """Add ``probability``; the sums of a group are combined map-side, so it may be of any size."""
+    return scores.join(log_sum_exp(scores, group, score), group).withColumn("probability", F.exp(F.col(score) - F.col("lse"))).drop("lse")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fusemill.operators.ranking import running_total
+
 
 def sample_ids(ids: DataFrame, key: str, ratio: float) -> DataFrame:
     """int(count * ratio) ids in the order of their md5 digests: the same ones in any engine and at any partitioning.
@@ -29,10 +31,22 @@ def shard(df: DataFrame, key: str, shards: int, number: int) -> DataFrame:
     return df.filter(F.pmod(key, F.lit(shards)) == number)
 
 
+def range_shards(ids: DataFrame, key: str, shards: int, start_shard: int = 0) -> DataFrame:
+    """Add ``shard``: rows in the order of ``key`` in slices of floor(n / shards), the last one with the rest; shards before ``start_shard`` are left out.
+
+    Rows are numbered by range-partitioned running totals; ``key`` is unique. Fewer rows than shards: all are in the last shard.
+    """
+    n = ids.count()
+    size = n // shards
+    numbered = running_total(ids.withColumn("_g", F.lit(0)), ["_g"], key, F.lit(1), "_n").drop("_g")
+    place = F.least(F.floor((F.col("_n") - 1) / F.lit(size)), F.lit(shards - 1)) if size else F.lit(shards - 1)
+    return numbered.withColumn("shard", place.cast("long")).drop("_n").filter(F.col("shard") >= start_shard)
+
+
 def negatives(examples: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """(qid, doc_id): at most n negatives per query without replacement, in the order of a seeded hash; examples (qid, negatives array)."""
+    """(qid, doc_id): at most n negatives per query without replacement, in the order of seeded md5 digests; examples (qid, negatives array)."""
     each = examples.select("qid", F.explode("negatives").alias("doc_id")).distinct()
-    w = Window.partitionBy("qid").orderBy(F.xxhash64("qid", "doc_id", F.lit(seed)), "doc_id")
+    w = Window.partitionBy("qid").orderBy(F.md5(F.concat_ws("-", "qid", "doc_id", F.lit(str(seed)))), "doc_id")
     return each.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusemill.functions.scoring import saturated
 from fusemill.operators.ranking import top_k
+from fusemill.runtime import written
+
+#: Query terms (qid, term, weight) that are broadcast at once, some 40 MB; a larger set of queries is taken in blocks against all postings.
+BLOCK_TERMS = 500_000
 
 
 def text_queries(df: DataFrame, key: str, analysed) -> DataFrame:
@@ -21,13 +25,23 @@ def weighted_queries(df: DataFrame, key: str, terms: str, weights: str) -> DataF
 
 
 def match(queries: DataFrame, post: DataFrame, digits: int = 6) -> DataFrame:
-    """(qid, doc_id, score): sum of query weight times posting weight over shared terms, combined map-side.
+    """(qid, doc_id, score): sum of query weight times posting weight over shared terms.
 
-    Only postings of query terms are touched; a term without postings adds nothing. Spark broadcasts the query side
-    when its size allows it, else both sides are shuffled by term and AQE splits skewed terms.
+    Postings are partitioned by document and meet a broadcast block of queries, so all scores of a document are added up where
+    its postings are: no (query, document) pair is shuffled, and a following top-k sends k rows per query and task. A term
+    without postings adds nothing. Empty sides give an empty result.
     """
-    q = queries.select("qid", "term", F.col("weight").alias("q_weight"))
-    return q.join(post, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("q_weight") * F.col("weight")), digits).alias("score"))
+    q = written(queries.select("qid", "term", F.col("weight").alias("q_weight")), "query_terms")
+    blocks = max(1, -(-q.count() // BLOCK_TERMS))
+    placed = post.select("term", "doc_id", "weight").repartition("doc_id")
+    if blocks > 1:
+        placed = written(placed, "placed_postings").repartition("doc_id")
+    out = None
+    for block in range(blocks):
+        part = F.broadcast(q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block))
+        here = placed.join(part, "term").groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("q_weight") * F.col("weight")), digits).alias("score"))
+        out = here if out is None else out.unionByName(here)
+    return out
 
 
 def above(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -71,6 +85,5 @@ def weighted_terms(df: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def decoded(df: DataFrame, vocabulary: DataFrame, key: str) -> DataFrame:
     """(key, text): term ids with positions back to text."""
-    w = Window.partitionBy(key)
-    named = df.join(vocabulary, "term_id").withColumn("n", F.count("*").over(w))
+    named = df.join(vocabulary, "term_id")
     return named.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ").alias("text"))

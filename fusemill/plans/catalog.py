@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from fusemill.functions import scoring, text, vectors
 from fusemill.operators import ann, dense, encoders, hybrid, index, metrics, references, sampling, sparse
-from fusemill.operators.ranking import top_k
-from fusemill.runtime import spread, table, written
+from fusemill.operators.ranking import running_total, top_k
+from fusemill.runtime import dropped, scratch, spread, table, written
 
 K = 10
 DEPTH = 100
 QUERY_STEP = 20
-PROBED = 4
+#: Of the heads, a tenth of the vectors; heads and queries share no id. Recall@10 is what ``ann_recall`` reports.
+PROBED, HEAD_RESIDUE = 24, 3
 #: Of 32 k-means clusters with 2 replicas: 12 give a recall@10 of 0.92 on the embeddings, 16 give 0.965.
 KMEANS_PROBED = 16
 
@@ -103,19 +104,19 @@ dfs as (select term, count(*) as df from tf group by 1),
 stats as (select count(*) as n_docs, avg(dl) as avgdl from dls),
 qterms as (select qid, term, count(*)::double as weight from (select qid, unnest(regexp_extract_all(lower({_clean_sql('text')}), '{text.WORD}')) as term from qtexts) group by 1, 2)"""
 _IDF_SQL = {
-    "robertson": "ln(greatest(1e0, (n_docs - df + 5e-1) / (df + 5e-1)))",
-    "lucene": "ln(1e0 + (n_docs - df + 5e-1) / (df + 5e-1))",
+    "robertson": "ln(greatest(1e0, (n_docs - df + 0.5e0) / (df + 0.5e0)))",
+    "lucene": "ln(1e0 + (n_docs - df + 0.5e0) / (df + 0.5e0))",
     "atire": "ln(n_docs::double / df)",
-    "bm25l": "ln((n_docs + 1e0) / (df + 5e-1))",
+    "bm25l": "ln((n_docs + 1e0) / (df + 0.5e0))",
     "bm25+": "ln((n_docs + 1e0) / df)",
 }
-_NORM = "(25e-2 + 75e-2 * dl / avgdl)"
+_NORM = "(0.25e0 + 0.75e0 * dl / avgdl)"
 _TF_SQL = {
-    "robertson": f"tf / (12e-1 * {_NORM} + tf)",
-    "lucene": f"tf / (12e-1 * {_NORM} + tf)",
-    "atire": f"tf * 22e-1 / (tf + 12e-1 * {_NORM})",
-    "bm25l": f"22e-1 * (tf / {_NORM} + 5e-1) / (12e-1 + tf / {_NORM} + 5e-1)",
-    "bm25+": f"tf * 22e-1 / (tf + 12e-1 * {_NORM}) + 5e-1",
+    "robertson": f"tf / (1.2e0 * {_NORM} + tf)",
+    "lucene": f"tf / (1.2e0 * {_NORM} + tf)",
+    "atire": f"tf * 2.2e0 / (tf + 1.2e0 * {_NORM})",
+    "bm25l": f"2.2e0 * (tf / {_NORM} + 0.5e0) / (1.2e0 + tf / {_NORM} + 0.5e0)",
+    "bm25+": f"tf * 2.2e0 / (tf + 1.2e0 * {_NORM}) + 0.5e0",
 }
 
 
@@ -242,7 +243,7 @@ def _(spark, d):
     return index.posting_lengths(index.term_frequencies(corpus_tokens(spark, d))).groupBy("length").agg(F.count("*").alias("n_terms"))
 
 
-@_query("stop_terms", f"with {_BASE} select term from dfs, stats where df > 1e-1 * n_docs")
+@_query("stop_terms", f"with {_BASE} select term from dfs, stats where df > 0.1e0 * n_docs")
 def _(spark, d):
     tok, tf = _tok_tf(spark, d)
     return index.stop_terms(tf, index.corpus_stats(tok), 0.1)
@@ -284,7 +285,7 @@ def _(spark, d):
     return sparse.search(_queries(spark, d), _postings(spark, d)[1], K, 5.0).select("qid", "rank", "doc_id", "score")
 
 
-@_query("bm25_pruned", f"with {_post_sql()}, kept as (select p.* from post p join dfs using (term), stats where df <= 1e-1 * n_docs), {_score_sql('kept')}, {_top_sql('scores')} select qid, rank, doc_id, score from top where score > 0")
+@_query("bm25_pruned", f"with {_post_sql()}, kept as (select p.* from post p join dfs using (term), stats where df <= 0.1e0 * n_docs), {_score_sql('kept')}, {_top_sql('scores')} select qid, rank, doc_id, score from top where score > 0")
 def _(spark, d):
     tok, post = _postings(spark, d)
     post = written(post, "postings")
@@ -303,12 +304,25 @@ def _(spark, d):
     return index.merged(*shards).groupBy("term").agg(F.count("*").alias("length"), F.sum("tf").alias("total"))
 
 
-@_query("index_packed", f"with {_post_sql()} select term, count(*) as length, min(doc_id) as first_doc, round(sum(weight), 4) as total from post where term not in (select term from dfs, stats where df > 1e-1 * n_docs) group by 1")
+@_query("index_packed", f"with {_post_sql()} select term, count(*) as length, min(doc_id) as first_doc, round(sum(weight), 4) as total from post group by 1")
 def _(spark, d):
-    tok, post = _postings(spark, d)
-    post = written(post, "postings")
-    packed = index.packed(index.without_terms(post, index.stop_terms(post, index.corpus_stats(tok), 0.1)))
-    return packed.select("term", F.size("postings").cast("long").alias("length"), F.element_at("postings", 1)["doc_id"].alias("first_doc"), F.round(F.aggregate("postings", F.lit(0.0), lambda a, p: a + p["weight"]), 4).alias("total"))
+    packed = index.packed(_postings(spark, d)[1], chunk=1000)
+    sums = packed.select("term", F.size("postings").alias("n"), F.element_at("postings", 1)["doc_id"].alias("first"), F.aggregate("postings", F.lit(0.0), lambda a, p: a + p["weight"]).alias("w"))
+    return sums.groupBy("term").agg(F.sum("n").alias("length"), F.min("first").alias("first_doc"), F.round(F.sum("w"), 4).alias("total"))
+
+
+@_query("bm25_signed", f"with {_post_sql('robertson').replace('greatest(1e0, (n_docs - df + 0.5e0) / (df + 0.5e0))', '(n_docs - df + 0.5e0) / (df + 0.5e0)')} select term, doc_id, round(weight, 6) as weight from post")
+def _(spark, d):
+    tok, tf = _tok_tf(spark, d)
+    return index.postings(tok, tf, "robertson", allow_negative=True).select("term", "doc_id", F.round("weight", 6).alias("weight"))
+
+
+@_query("bm25_stored", f"with {_post_sql()}, {_score_sql()}, pos as (select * from scores where score > 0), {_top_sql('pos')} select qid, rank, doc_id, score from top")
+def _(spark, d):
+    """The index is built and saved once, and searched from where it lies."""
+    path = scratch(spark, "index")
+    index.save(_postings(spark, d)[1], path)
+    return sparse.search(_queries(spark, d), index.load(spark, path), K).select("qid", "rank", "doc_id", "score")
 
 
 @_query("subset_search", f"with {_post_sql()}, sub as (select p.* from post p where doc_id in (select doc_id from judged)), {_score_sql('sub')}, {_top_sql('scores')} select qid, rank, doc_id, score from top where score > 0")
@@ -362,7 +376,7 @@ def _(spark, d):
     return sparse.search(_queries(spark, d), post, K).select("qid", "rank", "doc_id", "score")
 
 
-@_query("vocab_weighting", f"with {_BASE} select doc_id, term, tf * case when term in (select term from dfs, stats where df > 1e-1 * n_docs) then 0e0 else 1e0 end as weight from tf")
+@_query("vocab_weighting", f"with {_BASE} select doc_id, term, tf * case when term in (select term from dfs, stats where df > 0.1e0 * n_docs) then 0e0 else 1e0 end as weight from tf")
 def _(spark, d):
     tok, tf = _tok_tf(spark, d)
     stop = index.stop_terms(tf, index.corpus_stats(tok), 0.1).withColumn("term_weight", F.lit(0.0))
@@ -435,8 +449,6 @@ def _(spark, d):
 
 @_query("embedding_reorder", f"with {_EMB} select row_number() over (order by md5(doc_id::varchar)) - 1 as pos, doc_id, round(v[1], 6) as first from emb")
 def _(spark, d):
-    from fusemill.operators.ranking import running_total
-
     e = _emb(spark, d)
     keyed = e.select("doc_id", F.lit(0).alias("g"), F.md5(F.col("doc_id").cast("string")).alias("digest"))
     order = running_total(keyed, ["g"], "digest", F.lit(1), "n").select((F.col("n") - 1).cast("long").alias("pos"), "doc_id")
@@ -445,10 +457,7 @@ def _(spark, d):
 
 def _token_vectors(spark, d) -> DataFrame:
     """A stand-in for token-level outputs: the vectors of a label are the tokens of one document, one in five masked."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy("label").orderBy("doc_id")) - 1
-    e = _emb(spark, d).withColumn("pos", place)
+    e = running_total(_emb(spark, d), ["label"], "doc_id", F.lit(1), "n").withColumn("pos", F.col("n") - 1)
     return e.select(F.col("label").cast("long").alias("doc_id"), "pos", F.when(F.pmod("pos", F.lit(5)) == 4, 0).otherwise(1).alias("mask"), "vector")
 
 
@@ -469,7 +478,7 @@ _dense_pool("mean", "select doc_id, dim, round(avg(x), 6) as x from (select doc_
 
 # ---- approximate search -----------------------------------------------------------------------------------------------
 
-_ANN = f"""{_EMB}, heads as (select doc_id as cluster_id, v as c from emb where doc_id % 10 = 0),
+_ANN = f"""{_EMB}, heads as (select doc_id as cluster_id, v as c from emb where doc_id % 10 = {HEAD_RESIDUE}),
 assigned as (select doc_id, cluster_id from (select doc_id, cluster_id, row_number() over (partition by doc_id order by round(list_dot_product(v, c), 6) desc, cluster_id) as r from emb, heads) where r <= 8),
 probed as (select qid, cluster_id, s as cluster_score, r as probe_rank from (select qid, cluster_id, round(list_dot_product(qv, c), 6) as s, row_number() over (partition by qid order by round(list_dot_product(qv, c), 6) desc, cluster_id) as r from eq, heads) where r <= {PROBED}),
 cand as (select distinct qid, doc_id from probed join assigned using (cluster_id)),
@@ -478,19 +487,29 @@ scores as (select qid, doc_id, round({_DOT}, 6) as score from cand join emb usin
 
 def _ann_parts(spark, d):
     e = _emb(spark, d)
-    head = ann.heads(e)
+    head = ann.heads(e, residue=HEAD_RESIDUE)
     return e, _emb_queries(spark, d), head, written(ann.assign(e, head), "clusters")
 
 
 @_query("ann_heads", f"with {_ANN} select cluster_id, round(c[1], 6) as first from heads")
 def _(spark, d):
-    return ann.heads(_emb(spark, d)).select("cluster_id", F.round(F.element_at("centroid", 1).cast("double"), 6).alias("first"))
+    return ann.heads(_emb(spark, d), residue=HEAD_RESIDUE).select("cluster_id", F.round(F.element_at("centroid", 1).cast("double"), 6).alias("first"))
 
 
 @_query("ann_assign", f"with {_ANN} select cluster_id, doc_id from assigned")
 def _(spark, d):
     e = _emb(spark, d)
-    return ann.assign(e, ann.heads(e))
+    return ann.assign(e, ann.heads(e, residue=HEAD_RESIDUE))
+
+
+@_query("ann_assign_recall", "select true as found_nine_tenths")
+def _(spark, d):
+    """Assignment through coarse cells against the exact one: share of the clusters found."""
+    e = _emb(spark, d)
+    head = ann.heads(e, residue=HEAD_RESIDUE)
+    exact, near = ann.assign(e, head), ann.assign_in_cells(e, head)
+    hits = exact.join(near.withColumn("hit", F.lit(1.0)), ["cluster_id", "doc_id"], "left")
+    return hits.agg((F.avg(F.coalesce("hit", F.lit(0.0))) >= 0.9).alias("found_nine_tenths"))
 
 
 @_query("cluster_postings", f"with {_ANN} select cluster_id, count(*) as n_docs, min(doc_id) as first_doc, max(doc_id) as last_doc from assigned group by 1")
@@ -501,12 +520,12 @@ def _(spark, d):
 
 @_query("ann_probe", f"with {_ANN} select qid, probe_rank, cluster_id, cluster_score from probed")
 def _(spark, d):
-    return ann.probe(_emb_queries(spark, d), ann.heads(_emb(spark, d)), PROBED)
+    return ann.probe(_emb_queries(spark, d), ann.heads(_emb(spark, d), residue=HEAD_RESIDUE), PROBED)
 
 
 @_query("ann_similarity", f"with {_ANN}, s as (select qid, cluster_id, round({_SQ.replace(' v)', ' c)')}, 6) as d from eq, heads), r as (select *, row_number() over (partition by qid order by d, cluster_id) as n from s) select qid, cluster_id, round(1e0 / (1e0 + d), 6) as score from r where n <= {PROBED}")
 def _(spark, d):
-    near = ann.probe(_emb_queries(spark, d), ann.heads(_emb(spark, d)), PROBED, "opposite")
+    near = ann.probe(_emb_queries(spark, d), ann.heads(_emb(spark, d), residue=HEAD_RESIDUE), PROBED, "opposite")
     return near.select("qid", "cluster_id", F.round(vectors.distance_similarity(-F.col("cluster_score")), 6).alias("score"))
 
 
@@ -540,8 +559,6 @@ hq as (select doc_id as qid, term, weight from htf where doc_id % {QUERY_STEP} =
 
 def _hybrid_parts(spark, d) -> tuple[DataFrame, DataFrame]:
     """Sparse scores (shared terms, tf products) and vectors of the same ids: the i-th document by id has vector i."""
-    from fusemill.operators.ranking import running_total
-
     docs = table(spark, d, "documents").select("doc_id", "text", F.lit(0).alias("g"))
     numbered = running_total(docs, ["g"], "doc_id", F.lit(1), "n").select((F.col("n") - 1).cast("long").alias("doc_id"), "text")
     tok = index.tokens(sampling.restrict(numbered, _emb(spark, d), "doc_id"), "doc_id", text.terms(text.clean_text(F.col("text"))))
@@ -619,17 +636,16 @@ def _(spark, d):
 
 
 def _similarity(spark, d) -> DataFrame:
-    """(qid, doc_id, score) of every query vector with every vector, from the matrix path."""
-    e = _emb(spark, d)
-    return dense.knn_exact(_emb_queries(spark, d), e, e.count(), digits=9)
+    """(qid, doc_id, score) of every query vector with every vector, streamed into the aggregates."""
+    return dense.all_scores(_emb_queries(spark, d), _emb(spark, d), digits=9)
 
 
-@_query("infonce", f"with {_EMB}, sim as (select qid, doc_id, round({_DOT}, 9) / 5e-2 as s from eq, emb), m as (select qid, ln(sum(exp(s))) as lse, max(s) filter (where doc_id = qid) as good from sim group by 1) select round(avg(lse - good), 6) as loss from m")
+@_query("infonce", f"with {_EMB}, sim as (select qid, doc_id, round({_DOT}, 9) / 0.05e0 as s from eq, emb), m as (select qid, ln(sum(exp(s))) as lse, max(s) filter (where doc_id = qid) as good from sim group by 1) select round(avg(lse - good), 6) as loss from m")
 def _(spark, d):
     return metrics.info_nce(_similarity(spark, d).withColumn("positive", F.col("qid") == F.col("doc_id")), 0.05)
 
 
-_DISTILL = f"with {_EMB}, sim as (select qid, doc_id, round({_DOT}, 9) as teacher, (doc_id % 10) / 1e1 as student from eq, emb), z as (select qid, ln(sum(exp(teacher))) as lt, ln(sum(exp(student))) as ls from sim group by 1), per as (select qid, sum(exp(teacher - lt) * ((teacher - lt) - (student - ls))) as kl, sum(-exp(teacher - lt) * (student - ls)) as ce, sum(exp(student - ls) * ((student - ls) - (teacher - lt))) as kl2 from sim join z using (qid) group by 1)"
+_DISTILL = f"with {_EMB}, sim as (select qid, doc_id, round({_DOT}, 9) as teacher, (doc_id % 10) / 10e0 as student from eq, emb), z as (select qid, ln(sum(exp(teacher))) as lt, ln(sum(exp(student))) as ls from sim group by 1), per as (select qid, sum(exp(teacher - lt) * ((teacher - lt) - (student - ls))) as kl, sum(-exp(teacher - lt) * (student - ls)) as ce, sum(exp(student - ls) * ((student - ls) - (teacher - lt))) as kl2 from sim join z using (qid) group by 1)"
 
 
 def _teacher_student(spark, d) -> DataFrame:
@@ -646,13 +662,13 @@ def _(spark, d):
     return metrics.mutual_regularisation(_teacher_student(spark, d).select("qid", "doc_id", F.col("teacher").alias("sparse"), F.col("student").alias("dense")))
 
 
-@_query("joint_score_loss", f"with {_EMB}, sim as (select qid, doc_id, 5e-1 * round({_DOT}, 9) + 2e0 * ((doc_id % 10) / 1e1) as s from eq, emb), m as (select qid, ln(sum(exp(s))) as lse, max(s) filter (where doc_id = qid) as good from sim group by 1) select round(avg(lse - good), 6) as loss from m")
+@_query("joint_score_loss", f"with {_EMB}, sim as (select qid, doc_id, 0.5e0 * round({_DOT}, 9) + 2e0 * ((doc_id % 10) / 10e0) as s from eq, emb), m as (select qid, ln(sum(exp(s))) as lse, max(s) filter (where doc_id = qid) as good from sim group by 1) select round(avg(lse - good), 6) as loss from m")
 def _(spark, d):
     both = _teacher_student(spark, d).select("qid", "doc_id", scoring.fused(F.col("student"), F.col("teacher"), 2.0, 0.5).alias("score"), (F.col("qid") == F.col("doc_id")).alias("positive"))
     return metrics.info_nce(both)
 
 
-@_query("lambda_schedule", "select qid, round(5e-2 * pow(least(qid, 5000) / 5e3, 2), 9) as lambda from (select distinct qid from queries where qid is not null)")
+@_query("lambda_schedule", "select qid, round(0.05e0 * pow(least(qid, 5000) / 5000e0, 2), 9) as lambda from (select distinct qid from queries where qid is not null)")
 def _(spark, d):
     q = table(spark, d, "queries").select("qid").filter("qid is not null").distinct()
     return q.select("qid", F.round(scoring.quadratic_schedule(F.col("qid"), 0.05, 5000), 9).alias("lambda"))
@@ -660,7 +676,7 @@ def _(spark, d):
 
 # ---- sampling, restriction, remapping, sources ---------------------------------------------------------------------------
 
-_SAMPLE = f"with {_BASE}, s as (select doc_id from corpus order by md5(doc_id::varchar), doc_id limit cast(floor((select count(*) from corpus) * 1e-1) as bigint))"
+_SAMPLE = f"with {_BASE}, s as (select doc_id from corpus order by md5(doc_id::varchar), doc_id limit cast(floor((select count(*) from corpus) * 0.1e0) as bigint))"
 
 
 @_query("sample_corpus", f"{_SAMPLE} select doc_id from s union select doc_id from judged")
@@ -721,19 +737,44 @@ def _(spark, d):
     return spark.sql("SELECT q.qid, CAST(t.pos AS BIGINT) AS pos, t.term FROM _fusemill_queries q, LATERAL tokenize(q.text) t")
 
 
-@_query("training_examples", f"with {_BASE}, c as (select doc_id, concat_ws(' ', title, body) as text from corpus) select j.qid, j.doc_id, length(q.text) as query_chars, length(c.text) as text_chars, true as positive from judged j join qtexts q using (qid) join c using (doc_id)")
+_HARD = f"""best as (select qid, doc_id, max(score) as score from rankings where doc_id is not null and not isnan(score) group by 1, 2), {_top_sql('(select * from best where score is not null)', 'hard', DEPTH)},
+drawn as (select qid, doc_id from (select qid, doc_id, row_number() over (partition by qid order by md5(qid::varchar || '-' || doc_id::varchar || '-0'), doc_id) as n from (select qid, doc_id from hard anti join judged using (qid, doc_id) where qid is not null)) where n <= 8)"""
+
+
+def _hard_negatives(spark, d) -> DataFrame:
+    """(qid, negatives): the best ranked documents of every query that are not judged."""
+    rows = table(spark, d, "rankings").filter("qid is not null and doc_id is not null and not isnan(score)")
+    ranked = top_k(rows.groupBy("qid", "doc_id").agg(F.max("score").alias("score")), ["qid"], "score", "doc_id", DEPTH)
+    return ranked.join(judged(spark, d), ["qid", "doc_id"], "left_anti").groupBy("qid").agg(F.collect_list("doc_id").alias("negatives"))
+
+
+@_query("training_examples", f"with {_BASE}, {_HARD.replace('n <= 8', 'n <= 4')}, c as (select doc_id, concat_ws(' ', title, body) as text from corpus), ex as (select qid, doc_id, true as positive from judged union all select qid, doc_id, false from drawn where qid in (select qid from judged)) select ex.qid, ex.doc_id, length(q.text) as query_chars, length(c.text) as text_chars, positive from ex join qtexts q using (qid) join c using (doc_id)")
 def _(spark, d):
-    ex = judged(spark, d).groupBy("qid").agg(F.collect_list("doc_id").alias("positives")).withColumn("negatives", F.array().cast("array<bigint>"))
+    good = judged(spark, d).groupBy("qid").agg(F.collect_list("doc_id").alias("positives"))
+    ex = good.join(_hard_negatives(spark, d), "qid", "left").select("qid", "positives", F.coalesce("negatives", F.array().cast("array<bigint>")).alias("negatives"))
     texts = corpus(spark, d).select("doc_id", F.concat_ws(" ", "title", "body").alias("text"))
     out = encoders.training_examples(ex, query_texts(spark, d), texts, 4)
     return out.select("qid", "doc_id", F.length("query").cast("long").alias("query_chars"), F.length("text").cast("long").alias("text_chars"), "positive")
 
 
-@_query("negative_sampling")
+@_query("negative_sampling", f"with {_BASE}, {_HARD} select qid, doc_id from drawn")
+def _(spark, d):
+    return sampling.negatives(_hard_negatives(spark, d), 8)
+
+
+def _recall(spark, d, found: DataFrame) -> DataFrame:
+    hits = dense.knn_exact(_emb_queries(spark, d), _emb(spark, d), K).join(found.select("qid", "doc_id", F.lit(1.0).alias("hit")), ["qid", "doc_id"], "left")
+    return hits.agg((F.avg(F.coalesce("hit", F.lit(0.0))) >= 0.9).alias("found_nine_tenths"))
+
+
+@_query("ann_kmeans_recall", "select true as found_nine_tenths")
 def _(spark, d):
-    ranked = top_k(table(spark, d, "rankings").filter("doc_id is not null and not isnan(score)").groupBy("qid", "doc_id").agg(F.max("score").alias("score")), ["qid"], "score", "doc_id", DEPTH)
-    hard = ranked.join(judged(spark, d), ["qid", "doc_id"], "left_anti").groupBy("qid").agg(F.collect_list("doc_id").alias("negatives"))
-    return sampling.negatives(hard, 8)
+    return _recall(spark, d, QUERIES["ann_kmeans_search"](spark, d))
+
+
+@_query("lsh_recall", "select true as found_nine_tenths")
+def _(spark, d):
+    return _recall(spark, d, QUERIES["lsh_search"](spark, d))
 
 
 @_query("lsh_search")
@@ -741,7 +782,7 @@ def _(spark, d):
     return encoders.lsh_search(_emb_queries(spark, d), _emb(spark, d), K)
 
 
-@_query("encode_hashed")
+@_query("encode_hashed", f"with {_BASE} select qid, 64::bigint as dim, case when len(regexp_extract_all(lower(text), '{text.WORD}')) > 0 then 1e0 else 0e0 end as norm2 from qtexts")
 def _(spark, d):
     out = encoders.encoded(query_texts(spark, d), "qid", "text", encoders.hashed_encoder)
     return out.select("qid", F.size("vector").cast("long").alias("dim"), F.round(vectors.squared_norm(F.col("vector")), 4).alias("norm2"))
@@ -749,8 +790,20 @@ def _(spark, d):
 
 @_query("index_roundtrip", f"with {_post_sql()} select term, count(*) as length, round(sum(weight), 4) as total from post group by 1")
 def _(spark, d):
-    from fusemill.runtime import shared_dir
-
-    path = f"{shared_dir(spark)}/index-{abs(hash(d)) % 10**9}"
+    path = scratch(spark, "index")
     index.save(_postings(spark, d)[1], path)
-    return spark.read.schema("term string, doc_id bigint, weight double").parquet(path).groupBy("term").agg(F.count("*").alias("length"), F.round(F.sum("weight"), 4).alias("total"))
+    return index.load(spark, path).groupBy("term").agg(F.count("*").alias("length"), F.round(F.sum("weight"), 4).alias("total"))
+
+
+@_query("range_shards", f"with {_BASE}, r as (select doc_id, row_number() over (order by doc_id) - 1 as n, count(*) over () as total from corpus), s as (select doc_id, least(n // (total // 5), 4) as shard from r) select shard, count(*) as n, min(doc_id) as first, max(doc_id) as last from s where shard >= 1 group by 1")
+def _(spark, d):
+    s = sampling.range_shards(corpus(spark, d).select("doc_id"), "doc_id", 5, 1)
+    return s.groupBy("shard").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+
+
+@_query("regularisation_schedule", "select qid, case when qid < 2000 then 0e0 else round(0.3e0 * (3e0 / 4 * (qid % 7) + 1e0 / 4 * (qid % 5)), 9) end as added from (select distinct qid from queries where qid is not null)")
+def _(spark, d):
+    q = table(spark, d, "queries").select("qid").filter("qid is not null").distinct()
+    d2s, s2d = metrics.balance(dense_loss=1.0, sparse_loss=3.0)
+    both = F.pmod("qid", F.lit(7)) * d2s + F.pmod("qid", F.lit(5)) * s2d
+    return q.select("qid", F.round(metrics.regularisation(F.col("qid"), both, 0.3, 2000), 9).alias("added"))

@@ -45,6 +45,14 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return out
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, for files a caller writes itself; deleted when the session stops."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _forget_at_stop(spark)
+    _WRITTEN[path] = spark
+    return path
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete tables of :func:`written`; no DataFrame still to be run may read them. Others are left alone."""
     for df in tables:

@@ -55,9 +55,50 @@ def test_matrix_files(spark, tmp_path):
 
 def test_binary_postings(spark, tmp_path):
     post = spark.createDataFrame([(1, 5, 0.5), (1, 6, 1.5), (2, 5, 2.0)], "term bigint, doc_id bigint, weight double")
-    path = str(tmp_path / "index.bin")
-    binary.write_postings(index.packed(post).withColumnRenamed("term", "term_id"), path, 2)
-    assert sorted(map(tuple, binary.postings_table(spark, [path]).collect())) == [(1, 5, 0.5), (1, 6, 1.5), (2, 5, 2.0)]
+    path = str(tmp_path / "index")
+    assert binary.write_postings(index.packed(post, chunk=1).withColumnRenamed("term", "term_id"), path, 2) >= 1
+    assert sorted(map(tuple, binary.postings_table(spark, path).collect())) == [(1, 5, 0.5), (1, 6, 1.5), (2, 5, 2.0)]
+    raw = struct.pack("<II", 1, 9) + struct.pack("<II", 7, 8) + np.array([1, 2], "<i4").tobytes() + struct.pack("<I", 8) + np.array([0.5, 1], "<f4").tobytes()
+    (tmp_path / "one.bin").write_bytes(raw)
+    assert sorted(map(tuple, binary.postings_table(spark, str(tmp_path / "one.bin")).collect())) == [(7, 1, 0.5), (7, 2, 1.0)]
+
+
+def test_binary_record_layouts(spark, tmp_path):
+    rows = spark.createDataFrame([(4, [3], None), (2, [1, 2], [0.5, 2.0]), (9, [], [])], "key bigint, ids array<int>, values array<double>")
+    got = {}
+    for layout in binary.LAYOUTS:
+        path = str(tmp_path / layout)
+        binary.write_records(rows.coalesce(1), path, layout)
+        got[layout] = sorted((r.part, r.place, r.key, r.ids, r["values"]) for r in binary.read_records(spark, path, layout).collect())
+    assert [(r[2], r[3], r[4]) for r in got["postings"]] == [(2, [1, 2], [0.5, 2.0]), (4, [3], [1.0]), (9, [], [])]
+    assert [(r[3], r[4]) for r in got["weights"]] == [([1, 2], [0.5, 2.0]), ([3], [1.0]), ([], [])]
+    assert [(r[2], r[3], r[4]) for r in got["lists"]] == [(r[2], r[3], r[4]) for r in got["groups"]] == [(2, [1, 2], None), (4, [3], None), (9, [], None)]
+    binary.write_records(rows.limit(0), str(tmp_path / "none"), "lists")
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    (tmp_path / "lines.txt").write_text("".join(f"line {i}\n" for i in range(500)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = readers.numbered_lines(spark, str(tmp_path / "lines.txt")).collect()
+        assert sorted((r.line, r.value) for r in rows) == [(i, f"line {i}") for i in range(500)]
+        (tmp_path / "ids.json").write_text(json.dumps({str(i): i * 7 for i in range(400)}))
+        assert {r.row_idx: r.doc_id for r in readers.id_map_json(spark, str(tmp_path / "ids.json")).collect()} == {i: i * 7 for i in range(400)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_tables_are_deleted(spark):
+    import os
+
+    from fusemill import runtime
+
+    one, two = runtime.written(spark.range(5), "one"), runtime.written(spark.range(6), "two")
+    folder = runtime.shared_dir(spark).removeprefix("file://")
+    assert one.count() + two.count() == 11
+    runtime.dropped(one, spark.range(3))
+    left = os.listdir(folder)
+    assert not any(x.startswith("one-") for x in left) and any(x.startswith("two-") for x in left)
 
 
 def test_index_layout(spark, tmp_path):
