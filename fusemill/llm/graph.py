@@ -1,9 +1,9 @@
 """Most similar vectors for every vector, by robust-pruned directed graphs over shards (problem 6).
 
-Vectors are routed to cells around centroids that are fitted on a bounded sample; cells above ``SHARD`` members are
-divided further, so a shard always fits a task. Each shard gets one directed graph: greedy beam searches propose
-neighbours, relaxed-distance pruning keeps diverse edges, reverse edges are added and pruned alike. Every vector is
-indexed in its ``HOMES`` nearest cells and searches all shards of its ``PROBES`` nearest cells by beam search.
+Vectors are routed to cells around centroids that are fitted on a bounded sample; a cell above ``SHARD`` members is divided by centroids of
+its own, so a shard always fits a task and a query meets a bounded number of shards, however many vectors there are. Each shard gets one directed
+graph: greedy beam searches propose neighbours, relaxed-distance pruning keeps diverse edges, reverse edges are added and
+pruned alike. Every vector is indexed in its ``HOMES`` nearest cells and searches the shards of its ``PROBES`` nearest cells by beam search.
 """
 
 from __future__ import annotations
@@ -15,15 +15,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusemill.runtime import table, written
+from fusemill.runtime import dropped, table, written
 
 DIMENSIONS = 96
 #: Most members of a shard; wanted members of a cell.
 SHARD, CELL = 8192, 4096
 HOMES, PROBES = 2, 4
+#: Shards of a divided cell that a query searches; a member belongs to one.
+SUB_PROBES = 2
+#: Members of a cell on which its own centroids are fitted, at most.
+SUB_SAMPLE = 16_384
 #: Vectors the centroids are fitted on, at most, and centroids at most. Every vector is indexed, in the sample or not.
 SAMPLE, MOST_CELLS = 32_768, 2048
 DEGREE, BEAM, EXPAND, ALPHA = 24, 48, 4, 1.2
+#: Members of a shard that are compared whole before searches begin.
+FIRST = 512
 #: Entry points of a search: the medoid and evenly spread members.
 ENTRIES = 32
 #: Queries of a shard that meet its graph in one task.
@@ -38,108 +44,133 @@ def unit(x: np.ndarray) -> np.ndarray:
 def beam_search(x: np.ndarray, edges: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(ids, similarities), best first, of a greedy beam search for every query at once; -1 fills short results.
 
-    In each step every query expands its ``EXPAND`` best members not yet expanded, until its whole beam is expanded.
+    In each step every query expands its ``EXPAND`` best members not yet expanded, until its whole beam is expanded. The
+    similarities of the batch to the shard, which is bounded, come from one matrix product: a walk looks them up, which costs
+    less than gathering the vectors of each step.
     """
     b, n = len(queries), len(x)
     rows = np.arange(b)[:, None]
+    table_ = np.full((b, n + 1), -9.0, np.float32)  # the last column stands for no member
+    np.matmul(queries, x.T, out=table_[:, :n])
     seen = np.zeros((b, n + 1), bool)
     seen[:, entries] = True
-    ids = np.tile(entries.astype(np.int32), (b, 1))
-    sims = queries @ x[entries].T
-    done = np.zeros(ids.shape, bool)
-    order = np.argsort(-sims, axis=1, kind="stable")[:, :beam]
-    ids, sims, done = ids[rows, order], sims[rows, order], done[rows, order]
+    seen[:, n] = True
+    beam = min(beam, n)
+    ids = np.full((b, beam), n, np.int32)
+    sims = np.full((b, beam), -9.0, np.float32)
+    first = table_[:, entries]
+    order = np.argsort(-first, axis=1)[:, :beam]
+    ids[:, : order.shape[1]] = entries.astype(np.int32)[order]
+    sims[:, : order.shape[1]] = np.take_along_axis(first, order, 1)
+    done = ids == n
     live = np.arange(b)
+    width = min(EXPAND, beam)
     while len(live):
-        here = np.arange(len(live))[:, None]
-        key = np.where(done[live] | (ids[live] < 0), -9.0, sims[live])
-        width = min(EXPAND, key.shape[1])
-        pick = np.argpartition(-key, width - 1, axis=1)[:, :width]
-        fresh = key[here, pick] > -9.0
-        node = np.where(fresh, ids[live][here, pick], -1)
-        mark = done[live]
-        mark[here, pick] = True
-        done[live] = mark
-        found = np.where(node[:, :, None] >= 0, edges[node], -1).reshape(len(live), -1)
-        found = np.where(seen[live[:, None], found], -1, found)
+        own_ids, own_sims, own_done = ids[live], sims[live], done[live]
+        key = np.where(own_done, -9.0, own_sims)
+        pick = np.argpartition(-key, width - 1, axis=1)[:, :width] if width < beam else np.tile(np.arange(beam), (len(live), 1))
+        fresh = np.take_along_axis(key, pick, 1) > -9.0
+        node = np.where(fresh, np.take_along_axis(own_ids, pick, 1), n)
+        np.put_along_axis(own_done, pick, True, 1)
+        found = edges[node].reshape(len(live), -1)
+        at = live[:, None]
+        found[seen[at, found]] = n
         # the same neighbour may come from two nodes: keep one
-        srt = np.sort(found, axis=1)
-        srt[:, 1:][srt[:, 1:] == srt[:, :-1]] = -1
-        found = srt
-        seen[live[:, None], found] = True
-        seen[:, n] = False
-        found_sims = np.einsum("bd,brd->br", queries[live], x[found], optimize=True)
-        found_sims[found < 0] = -9.0
-        all_ids, all_sims = np.concatenate([ids[live], found], 1), np.concatenate([sims[live], found_sims], 1)
-        all_done = np.concatenate([done[live], np.zeros(found.shape, bool)], 1)
-        keep = min(beam, all_ids.shape[1])
-        top = np.argpartition(-all_sims, keep - 1, axis=1)[:, :keep]
-        if ids.shape[1] < keep:
-            pad = keep - ids.shape[1]
-            ids = np.concatenate([ids, np.full((b, pad), -1, ids.dtype)], 1)
-            sims = np.concatenate([sims, np.full((b, pad), -9.0, sims.dtype)], 1)
-            done = np.concatenate([done, np.ones((b, pad), bool)], 1)
-        ids[live], sims[live], done[live] = all_ids[here, top], all_sims[here, top], all_done[here, top]
-        ids[live] = np.where(sims[live] <= -9.0, -1, ids[live])
-        live = live[(~done[live] & (ids[live] >= 0)).any(axis=1)]
+        found.sort(axis=1)
+        found[:, 1:][found[:, 1:] == found[:, :-1]] = n
+        seen[at, found] = True
+        all_ids = np.concatenate([own_ids, found], 1)
+        all_sims = np.concatenate([own_sims, table_[at, found]], 1)
+        all_done = np.concatenate([own_done, found == n], 1)
+        top = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
+        ids[live], sims[live] = np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_sims, top, 1)
+        own_done = np.take_along_axis(all_done, top, 1)
+        done[live] = own_done
+        live = live[~own_done.all(axis=1)]
     order = np.argsort(-sims, axis=1, kind="stable")
-    return ids[rows, order], sims[rows, order]
+    ids, sims = ids[rows, order], sims[rows, order]
+    return np.where(ids == n, -1, ids), sims
 
 
 def robust_prune(x: np.ndarray, points: np.ndarray, candidates: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """(points, degree) edges: the nearest candidate is kept and strikes out all that lie alpha times nearer to it than to the point."""
-    rows = np.arange(len(points))
+    """(points, degree) edges: the nearest candidate is kept and strikes out all that lie alpha times nearer to it than to the point.
+
+    The last row of ``x`` stands for no candidate. Where no more than ``degree`` candidates are left, all are kept.
+    """
+    rows, none = np.arange(len(points)), len(x) - 1
     cand = np.sort(candidates, axis=1)
-    cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-    cand[cand == points[:, None]] = -1
+    cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = none
+    cand[cand == points[:, None]] = none
+    cand.sort(axis=1)
+    cand = cand[:, : max(degree, int((cand < none).sum(axis=1).max(initial=0)))]
+    if cand.shape[1] <= degree:
+        out = np.full((len(points), degree), none, np.int32)
+        out[:, : cand.shape[1]] = cand
+        return out
     vectors = x[cand]
-    to_point = 2 - 2 * np.einsum("pd,pcd->pc", x[points], vectors, optimize=True)
-    to_point[cand < 0] = np.inf
-    between = 2 - 2 * (vectors @ vectors.transpose(0, 2, 1))
-    out = np.full((len(points), degree), -1, np.int32)
+    to_point = 2 - 2 * np.matmul(vectors, x[points][:, :, None])[:, :, 0]
+    to_point[cand == none] = np.inf
+    between = alpha * (2 - 2 * np.matmul(vectors, vectors.transpose(0, 2, 1)))
+    out = np.full((len(points), degree), none, np.int32)
     for k in range(degree):
         best = to_point.argmin(axis=1)
         alive = np.isfinite(to_point[rows, best])
         if not alive.any():
             break
-        out[:, k] = np.where(alive, cand[rows, best], -1)
-        near = between[rows, best]
-        strike = alpha * near <= to_point
+        out[:, k] = np.where(alive, cand[rows, best], none)
+        strike = between[rows, best] <= to_point
         strike[rows, best] = True
         to_point[strike] = np.inf
     return out
 
 
 def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
-    """(edges, entry points) of one shard: a random graph, refined in two passes, the second with relaxed pruning."""
+    """(edges, entry points) of one shard; an edge to ``len(x)`` is none.
+
+    Members come in random order, in batches that double: each batch searches the graph of those before it, is pruned with relaxed distances, and
+    its reverse edges are added and pruned alike. A first batch is compared whole.
+    """
     n = len(x)
     rng = np.random.default_rng(n)
     medoid = int((x @ x.mean(axis=0)).argmax())
-    entries = np.unique(np.concatenate([[medoid], np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64)]))
+    edges = np.full((n + 1, degree), n, np.int32)
     if n <= degree + 1:
-        edges = np.tile(np.arange(n, dtype=np.int32), (n, 1))
-        edges[np.arange(n), np.arange(n)] = -1
-        return edges, entries
-    edges = rng.integers(0, n, (n, degree), dtype=np.int32)
-    x = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])  # row -1: no vector
-    for a in (1.0, alpha):
-        order = rng.permutation(n)
-        for at in range(0, n, 256):
-            batch = order[at : at + 256]
-            found, _ = beam_search(x[:-1], edges, x[batch], entries, beam)
-            edges[batch] = robust_prune(x, batch, np.concatenate([found, edges[batch]], 1), degree, a)
-            source, target = np.repeat(batch, degree), edges[batch].ravel()
-            source, target = source[target >= 0], target[target >= 0]
-            by = np.argsort(target, kind="stable")
-            source, target = source[by], target[by]
-            nodes, first, count = np.unique(target, return_index=True, return_counts=True)
-            for lo in range(0, len(nodes), 512):
-                some = slice(lo, lo + 512)
-                wide = int(count[some].max())
-                slot = first[some][:, None] + np.arange(wide)
-                extra = np.where(np.arange(wide) < count[some][:, None], source[np.minimum(slot, len(source) - 1)], -1)
-                edges[nodes[some]] = robust_prune(x, nodes[some], np.concatenate([edges[nodes[some]], extra.astype(np.int32)], 1), degree, a)
-    return edges, entries
+        for i in range(n):
+            others = np.delete(np.arange(n), i)
+            edges[i, : len(others)] = others
+        return edges, np.arange(n)
+    order = rng.permutation(n)
+    order = np.concatenate([[medoid], order[order != medoid]])
+    wide = np.concatenate([x, np.zeros((1, x.shape[1]), x.dtype)])
+    at = 0
+    while at < n:
+        stop = min(n, max(FIRST, 2 * at), at + 512 if at else FIRST)
+        batch = order[at:stop]
+        if at == 0:
+            found = np.tile(batch.astype(np.int32), (len(batch), 1))
+            near = np.argsort(-(x[batch] @ x[batch].T), axis=1)[:, : beam + 1]
+            found = np.take_along_axis(found, near, 1)
+        else:
+            entries = order[np.unique(np.linspace(0, at - 1, min(at, ENTRIES)).astype(np.int64))]
+            found, _ = beam_search(x, edges, x[batch], entries, beam)
+            # members of the batch that are near each other would not see each other
+            own = np.argsort(-(x[batch] @ x[batch].T), axis=1)[:, : degree // 2 + 1]
+            found = np.concatenate([np.where(found < 0, n, found), batch.astype(np.int32)[own]], 1)
+        edges[batch] = robust_prune(wide, batch, found, degree, alpha)
+        source, target = np.repeat(batch, degree), edges[batch].ravel()
+        source, target = source[target < n], target[target < n]
+        by = np.argsort(target, kind="stable")
+        source, target = source[by], target[by]
+        nodes, first, count = np.unique(target, return_index=True, return_counts=True)
+        by = np.argsort(count, kind="stable")
+        nodes, first, count = nodes[by], first[by], count[by]
+        for lo in range(0, len(nodes), 512):
+            some = slice(lo, lo + 512)
+            slot = first[some][:, None] + np.arange(int(count[some].max()))
+            extra = np.where(np.arange(slot.shape[1]) < count[some][:, None], source[np.minimum(slot, len(source) - 1)], n)
+            edges[nodes[some]] = robust_prune(wide, nodes[some], np.concatenate([edges[nodes[some]], extra.astype(np.int32)], 1), degree, alpha)
+        at = stop
+    return edges, order[np.unique(np.linspace(0, n - 1, min(n, ENTRIES)).astype(np.int64))]
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray:
@@ -208,7 +239,7 @@ def _search(k: int):
         for g in index.to_pylist():
             ids = np.frombuffer(g["ids"], np.int64)
             raw = np.frombuffer(g["vectors"], np.float32).reshape(len(ids), -1)
-            x, edges, entries = unit(raw), np.frombuffer(g["edges"], np.int32).reshape(len(ids), g["degree"]), np.frombuffer(g["entries"], np.int64)
+            x, edges, entries = unit(raw), np.frombuffer(g["edges"], np.int32).reshape(len(ids) + 1, g["degree"]), np.frombuffer(g["entries"], np.int64)
             exact = raw.astype(np.float64)
             exact /= np.linalg.norm(exact, axis=1, keepdims=True)
             for at in range(0, queries.num_rows, 500):
@@ -230,34 +261,71 @@ def _search(k: int):
     return run
 
 
+def _fit_cell(key: tuple, group: pa.Table) -> pa.Table:
+    """Centroids of a cell that is divided, from a sample of its members."""
+    centres = fit_centroids(_matrix(group.column("embedding").combine_chunks()), min(int(group.column("subs")[0].as_py()), group.num_rows))
+    return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "centres": pa.array([centres.tobytes()], pa.binary())})
+
+
+def _place(key: tuple, rows: pa.Table, cell: pa.Table) -> pa.Table:
+    """Rows of a divided cell, each once for each of its ``SUB_PROBES`` nearest shards; its home is the nearest."""
+    centres = np.frombuffer(cell.column("centres")[0].as_py(), np.float32).reshape(-1, _matrix(rows.column("embedding").combine_chunks()).shape[1]) if cell.num_rows and rows.num_rows else None
+    if centres is None:
+        return pa.table({"cell": pa.array([], pa.int32()), "sub": pa.array([], pa.int32()), "home": pa.array([], pa.bool_()), "rep": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))})
+    scores = unit(_matrix(rows.column("embedding").combine_chunks())) @ centres.T
+    k = min(SUB_PROBES, scores.shape[1])
+    sub = _best(scores, k) if k < scores.shape[1] else np.argsort(-scores, axis=1, kind="stable")
+    take = pa.array(np.repeat(np.arange(rows.num_rows), k))
+    home = np.asarray(rows.column("home"), bool)[:, None] & (np.arange(k) == 0)
+    return pa.table({"cell": rows.column("cell").take(take).cast(pa.int32()), "sub": pa.array(sub.ravel().astype(np.int32)), "home": pa.array(home.ravel()), "rep": rows.column("rep").take(take), "embedding": rows.column("embedding").take(take)})
+
+
+def placed_rows(reps: DataFrame, centres: np.ndarray) -> DataFrame:
+    """(cell, sub, home, rep, embedding): each vector once for each shard it searches; ``home`` marks those that index it.
+
+    Cells of up to ``SHARD`` members are shards. Larger ones are divided by centroids of their own, and their rows placed in
+    chunks of ``QUERY_CHUNK``, so no task holds a cell.
+    """
+    rows = routed(reps, centres)
+    sizes = rows.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("members"), F.count("*").alias("queries"))
+    sizes = written(sizes.select("cell", "members", F.ceil(F.col("members") / CELL).cast("int").alias("subs"), F.ceil(F.col("queries") / QUERY_CHUNK).cast("int").alias("chunks")), "cells")
+    small, large = (F.broadcast(sizes.filter(c)) for c in (f"members <= {SHARD}", f"members > {SHARD}"))  # one row per cell, MOST_CELLS at most
+    whole = rows.join(small.select("cell"), "cell").withColumn("sub", F.lit(0)).select("cell", "sub", "home", "rep", "embedding")
+    divided = rows.join(large, "cell")
+    sample = divided.filter(F.col("home") & (F.pmod(F.xxhash64("rep", F.lit(3)), F.col("members")) < SUB_SAMPLE)).select("cell", "subs", "embedding")
+    own = written(sample.groupBy("cell").applyInArrow(_fit_cell, "cell int, centres binary"), "cell_centres")
+    chunked = divided.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks")).cast("int")).select("cell", "chunk", "home", "rep", "embedding")
+    spread_centres = own.join(large, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "chunk", "centres")
+    schema = "cell int, sub int, home boolean, rep bigint, embedding array<float>"
+    return whole.unionByName(chunked.groupBy("cell", "chunk").cogroup(spread_centres.groupBy("cell", "chunk")).applyInArrow(_place, schema))
+
+
 def class_neighbours(reps: DataFrame, k: int) -> DataFrame:
     """(rep, near, cosine): the k most similar other vectors of every vector of ``reps`` (rep bigint, embedding), all distinct.
 
-    Two steps, each a written table: the index (one graph per shard) and the search. Neither a cell nor its
-    queries are bounded by the data, so both are divided before they meet: shards by member, queries by chunk.
+    The index (one graph per shard) is a written table; queries meet it shard by shard, in chunks of ``QUERY_CHUNK``.
     """
     n = reps.count()
-    cells = max(1, min(MOST_CELLS, -(-n // CELL)))
-    share = min(1.0, SAMPLE / max(n, 1))
-    sample = reps.filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").limit(2 * SAMPLE).toArrow()
-    matrix = _matrix(sample.column("embedding").combine_chunks()) if sample.num_rows else np.zeros((0, DIMENSIONS), np.float32)
     if not n:
         return reps.select("rep", F.col("rep").alias("near"), F.lit(0.0).alias("cosine")).limit(0)
+    cells = max(1, min(MOST_CELLS, -(-n // CELL)))
+    share = min(1.0, SAMPLE / n)
+    sample = reps.filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").limit(SAMPLE).toArrow()
+    matrix = _matrix(sample.column("embedding").combine_chunks())
     centres = fit_centroids(matrix, min(cells, len(matrix)))
-    rows = written(routed(reps, centres), "routed")
-    sizes = rows.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("members"), F.count("*").alias("queries"))
-    sizes = sizes.select("cell", F.greatest(F.ceil(F.col("members") / SHARD), F.lit(1)).cast("int").alias("subs"), F.ceil(F.col("queries") / QUERY_CHUNK).cast("int").alias("chunks"))
-    sizes = F.broadcast(written(sizes, "cells"))  # one row per cell, MOST_CELLS at most
-    placed = rows.join(sizes, "cell")
-    members = placed.filter("home").withColumn("sub", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("subs")).cast("int"))
-    index = written(members.select("cell", "sub", "rep", "embedding").groupBy("cell", "sub").applyInArrow(_build, "cell int, sub int, degree int, ids binary, vectors binary, edges binary, entries binary"), "graphs")
-    queries = placed.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks")).cast("int"))
-    graphs = index.join(sizes, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("subs", "chunks")
+    placed = written(placed_rows(reps, centres), "placed")
+    shards = placed.groupBy("cell", "sub").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
+    index = placed.filter("home").select("cell", "sub", "rep", "embedding").groupBy("cell", "sub").applyInArrow(_build, "cell int, sub int, degree int, ids binary, vectors binary, edges binary, entries binary")
+    index = written(index, "graphs")
+    graphs = index.join(shards, ["cell", "sub"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    queries = placed.join(shards, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks")).cast("int"))
     keys = ["cell", "sub", "chunk"]
     found = queries.select(*keys, "rep", "embedding").groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInArrow(_search(k), "rep bigint, near bigint, cosine double")
     best = found.groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
     order = Window.partitionBy("rep").orderBy(F.col("cosine").desc(), F.col("near"))
-    return best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+    near = written(best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r"), "class_neighbours")
+    dropped(placed, index)
+    return near
 
 
 def nearest_vectors(df: DataFrame, key: str, vector: str, k: int, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -271,7 +339,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int, dimensions: in
     classes = vectors.groupBy("embedding").agg(F.min("id").alias("rep"))
     members = written(vectors.join(classes, "embedding").select("rep", "id"), "class_members")
     reps = written(classes, "reps")
-    near = written(class_neighbours(reps, k), "class_neighbours")
+    near = class_neighbours(reps, k)
     few = Window.partitionBy("rep").orderBy("id")
     first = members.withColumn("_r", F.row_number().over(few)).filter(F.col("_r") <= k + 1).drop("_r")
     offered = near.unionByName(reps.select("rep", F.col("rep").alias("near"), F.lit(1.0).alias("cosine")))
