@@ -3,7 +3,8 @@
 Vectors are routed to cells around centroids that are fitted on a bounded sample; a cell above ``SHARD`` members is divided by centroids of
 its own, so a shard always fits a task and a query meets a bounded number of shards, however many vectors there are. Each shard gets one directed
 graph: greedy beam searches propose neighbours, relaxed-distance pruning keeps diverse edges, reverse edges are added and
-pruned alike. Every vector is indexed in its ``HOMES`` nearest cells and searches the shards of its ``PROBES`` nearest cells by beam search.
+pruned alike. Every vector is indexed in its ``HOMES`` nearest cells, whose graphs it searches by beam search where they are built, and searches those of
+its other cells among the ``PROBES`` nearest as a query.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from fusemill.runtime import dropped, table, written
 
 DIMENSIONS = 96
 #: Most members of a shard; wanted members of a cell.
-SHARD, CELL = 8192, 4096
-HOMES, PROBES = 2, 4
+SHARD, CELL = 16_384, 4096
+HOMES, PROBES = 2, 3
 #: Shards of a divided cell that a query searches; a member belongs to one.
 SUB_PROBES = 2
 #: Members of a cell on which its own centroids are fitted, at most.
@@ -187,10 +188,11 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 8) -> np.ndarray
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """(id, embedding): one row per key whose vector has ``dimensions`` finite numbers, not all zero."""
+    """(id, embedding, d0, d1): one row per key whose vector has ``dimensions`` finite numbers, not all zero, and a digest of it in two halves."""
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.filter((F.size(vector) == dimensions) & finite & F.exists(vector, lambda x: x != 0) & F.col(key).isNotNull())
-    return rows.groupBy(F.col(key).alias("id")).agg(F.min(vector).alias("embedding"))
+    one = rows.groupBy(F.col(key).alias("id")).agg(F.min(vector).alias("embedding"))
+    return one.select("id", "embedding", F.xxhash64("embedding").alias("d0"), F.xxhash64(F.lit(1), "embedding", F.lit(2)).alias("d1"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -221,47 +223,61 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     return part[rows, np.argsort(-scores[rows, part], axis=1, kind="stable")]
 
 
-def _build(key: tuple, group: pa.Table) -> pa.Table:
-    vectors = _matrix(group.column("embedding").combine_chunks())
-    edges, entries = build_graph(unit(vectors))
-    return pa.table({
-        "cell": pa.array([key[0].as_py()], pa.int32()), "sub": pa.array([key[1].as_py()], pa.int32()), "degree": pa.array([edges.shape[1]], pa.int32()),
-        "ids": pa.array([np.asarray(group.column("rep"), dtype=np.int64).tobytes()], pa.binary()), "vectors": pa.array([vectors.tobytes()], pa.binary()),
-        "edges": pa.array([edges.tobytes()], pa.binary()), "entries": pa.array([entries.astype(np.int64).tobytes()], pa.binary()),
-    })
+def _nearest(ids: np.ndarray, raw: np.ndarray, edges: np.ndarray, entries: np.ndarray, rep: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rep, near, cosine): what beam search finds in one shard, k + 1 at most for each query; cosines of the found are exact."""
+    beam = max(BEAM, 2 * k + 16)  # a shard may hold all k neighbours
+    x, exact = unit(raw), raw.astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    out = []
+    for at in range(0, len(rep), 500):
+        mine, own = rep[at : at + 500], q[at : at + 500]
+        found, _ = beam_search(x, edges, unit(own), entries, beam)
+        own = own.astype(np.float64)
+        own /= np.linalg.norm(own, axis=1, keepdims=True)
+        ok = (found >= 0) & (ids[found] != mine[:, None])
+        ok &= np.cumsum(ok, axis=1) <= k + 1
+        row, column = np.nonzero(ok)
+        member = found[row, column]
+        out.append((mine[row], ids[member], np.round(np.einsum("bd,bd->b", own[row], exact[member]), 10)))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+
+_GRAPH = {"cell": "int", "sub": "int", "degree": "int", "ids": "binary", "vectors": "binary", "edges": "binary", "entries": "binary", "rep": "binary", "near": "binary", "cosine": "binary"}
+
+
+def _build(k: int):
+    """The graph of one shard, and what its own members find in it."""
+
+    def run(key, group):
+        vectors, ids = _matrix(group.column("embedding").combine_chunks()), np.asarray(group.column("rep"), dtype=np.int64)
+        edges, entries = build_graph(unit(vectors))
+        found = _nearest(ids, vectors, edges, entries, ids, vectors, k)
+        row = [key[0].as_py(), key[1].as_py(), edges.shape[1], *[x.tobytes() for x in (ids, vectors, edges, entries.astype(np.int64), *found)]]
+        kinds = {"int": pa.int32(), "binary": pa.binary()}
+        return pa.table({name: pa.array([value], kinds[kind]) for (name, kind), value in zip(_GRAPH.items(), row)})
 
+    return run
 
-def _search(k: int):
-    beam = max(BEAM, 2 * k + 16)  # a shard may hold all k neighbours
 
+def _found_at_home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rep, near, cosine in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(rep, np.int64)), pa.array(np.frombuffer(near, np.int64)), pa.array(np.frombuffer(cosine, np.float64))], names=["rep", "near", "cosine"])
+
+
+def _search(k: int):
     def run(key: tuple, queries: pa.Table, index: pa.Table) -> pa.Table:
-        reps, near, sims = [], [], []
-        for g in index.to_pylist():
+        found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for g in index.to_pylist() if queries.num_rows else []:
             ids = np.frombuffer(g["ids"], np.int64)
-            raw = np.frombuffer(g["vectors"], np.float32).reshape(len(ids), -1)
-            x, edges, entries = unit(raw), np.frombuffer(g["edges"], np.int32).reshape(len(ids) + 1, g["degree"]), np.frombuffer(g["entries"], np.int64)
-            exact = raw.astype(np.float64)
-            exact /= np.linalg.norm(exact, axis=1, keepdims=True)
-            for at in range(0, queries.num_rows, 500):
-                part = queries.slice(at, 500)
-                rep = np.asarray(part.column("rep"), dtype=np.int64)
-                q = _matrix(part.column("embedding").combine_chunks())
-                found, _ = beam_search(x, edges, unit(q), entries, beam)
-                found = found[:, : k + 3]
-                q = q.astype(np.float64)
-                q /= np.linalg.norm(q, axis=1, keepdims=True)
-                value = np.round(np.einsum("bd,bkd->bk", q, exact[found]), 10)
-                ok = (found >= 0) & (ids[found] != rep[:, None])
-                reps.append(np.repeat(rep, found.shape[1])[ok.ravel()])
-                near.append(ids[found][ok])
-                sims.append(value[ok])
-        cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
-        return pa.table({"rep": pa.array(cat(reps, np.int64), pa.int64()), "near": pa.array(cat(near, np.int64), pa.int64()), "cosine": pa.array(cat(sims, np.float64), pa.float64())})
+            raw, edges = np.frombuffer(g["vectors"], np.float32).reshape(len(ids), -1), np.frombuffer(g["edges"], np.int32).reshape(len(ids) + 1, g["degree"])
+            found = _nearest(ids, raw, edges, np.frombuffer(g["entries"], np.int64), np.asarray(queries.column("rep"), dtype=np.int64), _matrix(queries.column("embedding").combine_chunks()), k)
+        return pa.table({"rep": pa.array(found[0]), "near": pa.array(found[1]), "cosine": pa.array(found[2])})
 
     return run
 
 
-def _fit_cell(key: tuple, group: pa.Table) -> pa.Table:
+def _fit_cell(key, group):
     """Centroids of a cell that is divided, from a sample of its members."""
     centres = fit_centroids(_matrix(group.column("embedding").combine_chunks()), min(int(group.column("subs")[0].as_py()), group.num_rows))
     return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "centres": pa.array([centres.tobytes()], pa.binary())})
@@ -297,13 +313,14 @@ def placed_rows(reps: DataFrame, centres: np.ndarray) -> DataFrame:
     chunked = divided.withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks")).cast("int")).select("cell", "chunk", "home", "rep", "embedding")
     spread_centres = own.join(large, "cell").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("cell", "chunk", "centres")
     schema = "cell int, sub int, home boolean, rep bigint, embedding array<float>"
-    return whole.unionByName(chunked.groupBy("cell", "chunk").cogroup(spread_centres.groupBy("cell", "chunk")).applyInArrow(_place, schema))
+    return whole.unionByName(written(chunked.groupBy("cell", "chunk").cogroup(spread_centres.groupBy("cell", "chunk")).applyInArrow(_place, schema), "divided"))
 
 
 def class_neighbours(reps: DataFrame, k: int) -> DataFrame:
     """(rep, near, cosine): the k most similar other vectors of every vector of ``reps`` (rep bigint, embedding), all distinct.
 
-    The index (one graph per shard) is a written table; queries meet it shard by shard, in chunks of ``QUERY_CHUNK``.
+    A vector is sent to its homes, where it is indexed and searched with, and once more for each other shard it searches: the index (one
+    graph per shard) is a written table, which these queries meet shard by shard, in chunks of ``QUERY_CHUNK``.
     """
     n = reps.count()
     if not n:
@@ -313,18 +330,24 @@ def class_neighbours(reps: DataFrame, k: int) -> DataFrame:
     sample = reps.filter(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("embedding").limit(SAMPLE).toArrow()
     matrix = _matrix(sample.column("embedding").combine_chunks())
     centres = fit_centroids(matrix, min(cells, len(matrix)))
-    placed = written(placed_rows(reps, centres), "placed")
-    shards = placed.groupBy("cell", "sub").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
-    index = placed.filter("home").select("cell", "sub", "rep", "embedding").groupBy("cell", "sub").applyInArrow(_build, "cell int, sub int, degree int, ids binary, vectors binary, edges binary, entries binary")
-    index = written(index, "graphs")
-    graphs = index.join(shards, ["cell", "sub"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
-    queries = placed.join(shards, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks")).cast("int"))
+    placed = placed_rows(reps, centres)
+    schema = ", ".join(f"{name} {kind}" for name, kind in _GRAPH.items())
+    index = written(placed.filter("home").select("cell", "sub", "rep", "embedding").groupBy("cell", "sub").applyInArrow(_build(k), schema), "graphs")
+    away = placed.filter("not home")
+    shards = away.groupBy("cell", "sub").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
+    shards = written(shards, "shards")
     keys = ["cell", "sub", "chunk"]
-    found = queries.select(*keys, "rep", "embedding").groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInArrow(_search(k), "rep bigint, near bigint, cosine double")
-    best = found.groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
-    order = Window.partitionBy("rep").orderBy(F.col("cosine").desc(), F.col("near"))
-    near = written(best.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r"), "class_neighbours")
-    dropped(placed, index)
+    graphs = index.drop("rep", "near", "cosine").join(shards, ["cell", "sub"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    queries = away.join(shards, ["cell", "sub"]).withColumn("chunk", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("chunks")).cast("int"))
+    answer = "rep bigint, near bigint, cosine double"
+    found = queries.select(*keys, "rep", "embedding").groupBy(*keys).cogroup(graphs.groupBy(*keys)).applyInArrow(_search(k), answer)
+    found = found.unionByName(index.select("rep", "near", "cosine").mapInArrow(_found_at_home, answer))
+    # at most k + 1 from each of the few shards a vector searches, so a group is bounded
+    best = found.groupBy("rep").agg(F.array_sort(F.collect_set(F.struct((-F.col("cosine")).alias("c"), "near"))).alias("f"))
+    fresh = F.filter("f", lambda x, i: ~F.exists(F.slice("f", F.lit(1), i), lambda y: y["near"] == x["near"]))
+    best = best.select("rep", F.explode(F.slice(fresh, 1, k)).alias("x")).select("rep", F.col("x.near").alias("near"), (-F.col("x.c")).alias("cosine"))
+    near = written(best, "class_neighbours")
+    dropped(index)
     return near
 
 
@@ -336,9 +359,11 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int, dimensions: in
     ids can matter, so a class may hold any share of the rows. Fewer than k others: fewer rows. Empty: no rows.
     """
     vectors = written(usable_vectors(df, key, vector, dimensions), "vectors")
-    classes = vectors.groupBy("embedding").agg(F.min("id").alias("rep"))
-    members = written(vectors.join(classes, "embedding").select("rep", "id"), "class_members")
-    reps = written(classes, "reps")
+    # classes are found by digests, so embeddings are not shuffled for it
+    classes = written(vectors.groupBy("d0", "d1").agg(F.min("id").alias("rep")), "vector_classes")
+    members = written(vectors.select("id", "d0", "d1").join(classes, ["d0", "d1"]).select("rep", "id"), "class_members")
+    reps = written(vectors.select(F.col("id").alias("rep"), "embedding").join(classes.select("rep"), "rep", "left_semi"), "reps")
+    dropped(vectors)
     near = class_neighbours(reps, k)
     few = Window.partitionBy("rep").orderBy("id")
     first = members.withColumn("_r", F.row_number().over(few)).filter(F.col("_r") <= k + 1).drop("_r")

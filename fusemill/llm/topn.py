@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from fusemill.runtime import table, written
 
 #: Shares of the rows above the band edges, from the top; the last band is the rest.
-BAND_SHARES = (0.02, 0.08, 0.25, 0.6)
+BAND_SHARES = (0.05, 0.3)
+#: Filled groups that are broadcast, at most; with more, rows and filled groups are shuffled by group.
+BROADCAST_GROUPS = 500_000
 #: Scales (say, runs) whose band edges may be broadcast; with more, the edges are joined by a shuffle.
 BROADCAST_SCALES = 100_000
 
@@ -42,8 +44,8 @@ def top_n_per_group(df: DataFrame, group: list[str], item: str, score: str, n: D
     come out whole, null group keys form a group of their own when n names one. Empty input: empty result.
     Returns (group..., item, score, rank bigint).
 
-    Bands run from the top. A band's rows of groups already filled are dropped by an anti-join before any shuffle of
-    items; the rest are reduced to one row per item. Groups are closed as soon as they hold n items, so of a group
+    Bands run from the top. A band's rows of groups already filled are dropped by an anti-join, before any shuffle of
+    items while the filled groups can be broadcast; the rest are reduced to one row per item. Groups are closed as soon as they hold n items, so of a group
     with millions of items only the top bands are ever shuffled. The exact tie rank at the end keeps at most max(n)
     rows per group and task before its shuffle.
     """
@@ -70,6 +72,8 @@ def top_n_per_group(df: DataFrame, group: list[str], item: str, score: str, n: D
         kept = here if kept is None else kept.unionByName(here)
         if band < len(BAND_SHARES):
             filled = written(kept.groupBy(*group, "_n").agg(F.count("*").alias("have")).filter(F.col("have") >= F.col("_n")).select(*group), f"filled_{band}")
+            if filled.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+                filled = F.broadcast(filled)
     order = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(item).asc())
     ranked = kept.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
     return ranked.filter(F.col("rank") <= F.col("_n")).select(*columns, F.col("rank").cast("long").alias("rank"))

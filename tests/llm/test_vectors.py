@@ -37,6 +37,18 @@ def test_recall_over_several_cells(spark, monkeypatch):
     assert len(pairs) == len(want) and len(pairs & want) / len(want) >= 0.95
 
 
+def test_divided_cells(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL", 100)
+    monkeypatch.setattr(graph, "SHARD", 250)
+    monkeypatch.setattr(graph, "MOST_CELLS", 2)
+    monkeypatch.setattr(graph, "QUERY_CHUNK", 150)
+    x = vectors(800, 8)
+    got = graph.nearest_vectors(frame(spark, [(i, v.tolist(), 1, "n") for i, v in enumerate(x)]), "vec_id", "embedding", 4)
+    pairs = {(r.id, r.near) for r in got.collect()}
+    want = brute(list(range(800)), x, 4)
+    assert len(pairs) == len(want) and len(pairs & want) / len(want) >= 0.9
+
+
 def test_more_neighbours_than_the_least_beam(spark):
     x, k = vectors(400, 5), 2 * graph.BEAM + 4
     got = graph.nearest_vectors(frame(spark, [(i, v.tolist(), 1, "n") for i, v in enumerate(x)]), "vec_id", "embedding", k)
