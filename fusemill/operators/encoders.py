@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from fusemill.functions.text import WORD
+from fusemill.operators.dense import pooled_vectors
 from fusemill.operators.ranking import top_k
+from fusemill.operators.sparse import pooled
 
 
 def encoded(df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], np.ndarray]], batch: int = 256) -> DataFrame:
@@ -68,6 +70,22 @@ def register_tokenize(spark: SparkSession, name: str = "tokenize") -> None:
     spark.udtf.register(name, Tokenize)
 
 
+#: Outputs of an encoder by task name: the inputs each is made of.
+TASKS = {"sent": "tokens", "sparse": "logits"}
+
+
+def task_outputs(task_list: str, tokens: DataFrame, logits: DataFrame, dense_pooling: str = "mean", sparse_pooling: str = "max") -> dict[str, DataFrame]:
+    """The outputs that a comma-separated list of task names switches on: ``sent`` pooled vectors, ``sparse`` pooled terms.
+
+    Blanks around names are ignored and names may repeat; an unknown name is an error, an empty list switches nothing on.
+    """
+    names = list(dict.fromkeys(n.strip() for n in task_list.split(",") if n.strip()))
+    if unknown := [n for n in names if n not in TASKS]:
+        raise ValueError(f"unknown task {unknown[0]!r}; choose from {', '.join(TASKS)}")
+    make = {"sent": lambda: pooled_vectors(tokens, dense_pooling), "sparse": lambda: pooled(logits, sparse_pooling)}
+    return {n: make[n]() for n in names}
+
+
 def training_examples(examples: DataFrame, queries: DataFrame, passages: DataFrame, negatives: int, seed: int = 0) -> DataFrame:
     """(qid, query, doc_id, text, positive) of (qid, positives array, negatives array): every positive and at most ``negatives`` negatives per query.
 

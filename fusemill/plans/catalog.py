@@ -748,6 +748,12 @@ def _hard_negatives(spark, d) -> DataFrame:
     return ranked.join(judged(spark, d), ["qid", "doc_id"], "left_anti").groupBy("qid").agg(F.collect_list("doc_id").alias("negatives"))
 
 
+@_query("task_outputs", f"{_LOGITS_SQL} select 'sparse' as task, count(*) as n from (select distinct doc_id, term from logits) union all select 'sent', count(distinct label) from embeddings")
+def _(spark, d):
+    out = encoders.task_outputs("sent, sparse", _token_vectors(spark, d), _logits(spark, d))
+    return index.merged(*[df.agg(F.lit(name).alias("task"), F.count("*").alias("n")) for name, df in out.items()])
+
+
 @_query("training_examples", f"with {_BASE}, {_HARD.replace('n <= 8', 'n <= 4')}, c as (select doc_id, concat_ws(' ', title, body) as text from corpus), ex as (select qid, doc_id, true as positive from judged union all select qid, doc_id, false from drawn where qid in (select qid from judged)) select ex.qid, ex.doc_id, length(q.text) as query_chars, length(c.text) as text_chars, positive from ex join qtexts q using (qid) join c using (doc_id)")
 def _(spark, d):
     good = judged(spark, d).groupBy("qid").agg(F.collect_list("doc_id").alias("positives"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from fusemill.operators import encoders
 
@@ -40,3 +41,13 @@ def test_stage_times(spark):
             pass
     row = times.per_query(spark, 4).first()
     assert row.stage == "probe" and row.ms_per_query >= 0
+
+
+def test_task_names(spark):
+    tokens = spark.createDataFrame([(1, 0, 1, [1.0, 2.0]), (1, 1, 1, [3.0, 4.0])], "doc_id bigint, pos int, mask int, vector array<double>")
+    logits = spark.createDataFrame([(1, 0, "a", 1.0), (1, 1, "a", 2.0)], "doc_id bigint, pos int, term string, logit double")
+    out = encoders.task_outputs(" sparse,sent ,sparse", tokens, logits)
+    assert list(out) == ["sparse", "sent"] and out["sent"].first().vector == [2.0, 3.0] and out["sparse"].count() == 1
+    assert encoders.task_outputs("", tokens, logits) == {}
+    with pytest.raises(ValueError, match="unknown task"):
+        encoders.task_outputs("dense", tokens, logits)
