@@ -383,7 +383,7 @@ def _wanted(spark, folder: str) -> int:
 
 
 def p6_neighbours(spark, folder: str) -> DataFrame:
-    return nearest_vectors(table(spark, folder, "doc_vectors"), "vec_id", "embedding", _wanted(spark, folder)).select(F.col("id").alias("vec_id"), F.col("near").alias("near_id"), "rank", "cosine")
+    return nearest_vectors(table(spark, folder, "doc_vectors"), "vec_id", "embedding", _wanted(spark, folder)).select(F.col("id").alias("vec_id"), F.col("near").alias("near_id"), "rank", F.round("cosine", 6).alias("cosine"))
 
 
 def p6_found(spark, folder: str) -> DataFrame:
@@ -392,11 +392,12 @@ def p6_found(spark, folder: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_neighbours": p6_neighbours}
-ORACLES = {
-    "p6_found": f"""with v as (select vec_id, min(embedding)::double[] as e from doc_vectors where len(embedding) = {DIMENSIONS} and vec_id is not null
+_NEAREST = f"""with v as (select vec_id, min(embedding)::double[] as e from doc_vectors where len(embedding) = {DIMENSIONS} and vec_id is not null
   and len(list_filter(embedding, lambda x: isfinite(x))) = {DIMENSIONS} and len(list_filter(embedding, lambda x: x <> 0)) > 0 group by 1),
 k as (select coalesce(max(retrieve_topk), 0) as k from run_config where run_name = 'vector_neighbours'),
 s as (select a.vec_id as va, b.vec_id as vb, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 10) as c from v a, v b where a.vec_id <> b.vec_id),
-r as (select *, row_number() over (partition by va order by c desc, vb) as n from s)
-select distinct least(va, vb) as vec_id_a, greatest(va, vb) as vec_id_b from r, k where n <= k""",
+r as (select *, row_number() over (partition by va order by c desc, vb) as n from s)"""
+ORACLES = {
+    "p6_found": f"{_NEAREST} select distinct least(va, vb) as vec_id_a, greatest(va, vb) as vec_id_b from r, k where n <= k",
+    "p6_neighbours": f"{_NEAREST} select va as vec_id, vb as near_id, n as rank, round(c, 6) as cosine from r, k where n <= k",
 }

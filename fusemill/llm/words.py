@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The line-break markers, and the characters that are invisible.
-MARKERS = r"#N#|#n#|<sep>|#tab#|#r#"
+from fusemill.functions.text import MARKERS
+
+# The characters that are invisible.
 INVISIBLE = "\u200b\u00ad"
 # Scripts written without spaces, in which two neighbouring characters count as a word.
 UNSPACED = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー"
