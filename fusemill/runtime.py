@@ -54,11 +54,19 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables of :func:`written`; no DataFrame still to be run may read them. Others are left alone."""
+    """Delete tables of :func:`written`, and the shuffle files of finished steps; no DataFrame still to be run may read the tables. Others are left alone."""
     for df in tables:
         path = getattr(df, "__dict__", {}).get("_written_path")
         if path in _WRITTEN:
             _delete(_WRITTEN.pop(path), path)
+    for df in tables[:1]:
+        released(df.sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go: Spark removes them once the driver has collected their handles as garbage, which is
+    asked for here instead of waiting for a full heap."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
