@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fusemill.runtime import dropped, table, written
+from fusemill.runtime import dropped, released, table, written
 
 DIMENSIONS = 96
 #: Most members of a shard; wanted members of a cell.
@@ -333,6 +333,7 @@ def class_neighbours(reps: DataFrame, k: int) -> DataFrame:
     placed = placed_rows(reps, centres)
     schema = ", ".join(f"{name} {kind}" for name, kind in _GRAPH.items())
     index = written(placed.filter("home").select("cell", "sub", "rep", "embedding").groupBy("cell", "sub").applyInArrow(_build(k), schema), "graphs")
+    released(reps.sparkSession)
     away = placed.filter("not home")
     shards = away.groupBy("cell", "sub").agg(F.ceil(F.count("*") / QUERY_CHUNK).cast("int").alias("chunks"))
     shards = written(shards, "shards")

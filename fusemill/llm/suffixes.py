@@ -333,10 +333,11 @@ def cross_split(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records (kind, id, split, source, n, num) written, links (a, b, overlap) between a train class and a held-out class)."""
     rows, classes = split_classes(records)
     found = written(shared_spans(suffix_rows(classes)), "suffix_neighbours")
-    neighbours = found.filter("what = 'pair'").select(F.col("num").alias("a"), F.col("other").alias("b"))
+    neighbours = written(found.filter("what = 'pair'").select(F.col("num").alias("a"), F.col("other").alias("b")).distinct(), "neighbours")
+    dropped(found)
     keyed = written(prefix_rows(classes, element_counts(records.sparkSession, classes)), "prefix_keys")
     links = verified(neighbours.unionByName(prefix_candidates(keyed)), classes)
-    dropped(found, keyed, classes)
+    dropped(neighbours, keyed, classes)
     return rows, links
 
 
