@@ -3,13 +3,14 @@
 A text is a stream of words with a hidden event, boundary or none, at every place where a sentence could close (a
 site): after a final mark, and between words in the script that writes none. The model gives P(event | the two words before it) and
 P(next two words | event, word before); forward-backward posteriors over the sites of a block decide. Breaks
-that always end a unit cut a text into blocks beforehand, and places inside a quotation or a bracket are no sites.
+that always end a unit cut a text into blocks beforehand. No sites are, by rule, places inside a quotation, marks before a comma, Thai spaces beside a digit, and
+dots without a space after them in what looks like a number, an address or an abbreviation; places inside a bracket are sites.
 
-The texts are read once: their sites are written as numbers. The model is trained on all of them without labels. What stands
+The texts are read once: their sites and all their words are written as numbers. The model is trained on all of them without labels. What stands
 at the start is one guess per kind of site, shifted by some known abbreviations; others are learnt from counts (a short word that hardly
 ever stands without its dot, after which a sentence often goes on), and rounds of expectation maximisation add up fractional n-gram counts. Words that make up less
-than ``LEAST_SHARE`` of all words around sites count as their shape. All n-grams are counted, in a hashed
-table of fixed size, so neither the driver nor a broadcast grows with the corpus.
+than ``LEAST_SHARE`` of all words count as their shape. All n-grams are counted, those of words in every place of every block, in hashed
+tables of fixed size, so neither the driver nor a broadcast grows with the corpus.
 """
 
 from __future__ import annotations
@@ -30,21 +31,23 @@ from fusemill.functions.text import MARKERS
 from fusemill.llm.words import mix
 from fusemill.runtime import dropped, spread, table, written
 
-#: A word of the vocabulary makes up at least this share of all words around sites, so there are at most 6,666 of them.
+#: A word of the vocabulary makes up at least this share of all words, so there are at most 6,666 of them.
 LEAST_SHARE = 1.5e-4
 #: An abbreviation makes up at least this share of all short words with a dot, so there are at most 100,000 of them.
 LEAST_DOTTED = 1e-5
 ROUNDS = 2
 #: A word before a dot makes up at least this share of all sites to count as itself, so there are at most 50,000 of them.
 LEAST_LEFT = 2e-5
-#: Slots of each of the two hashed tables of n-gram counts (8 MB together); an n-gram's count is the lesser of its two.
+#: Slots of each of the two hashed tables of n-gram counts at sites, and of the two for words anywhere (16 MB together); an n-gram's count is the lesser of its two.
 SLOTS = 1 << 20
+#: Features of words anywhere: how many there are, each word, each pair.
+ANY, WORD, PAIR = 7, 8, 9
 #: Letters of a short word, and the least score of an abbreviation.
 SHORT, ABBREVIATION = 6, 0.3
 #: Distinct words held by a task before it passes their counts on.
 HELD_COUNTS = 200_000
-#: Documents whose sites are computed at once.
-SLICE = 4000
+#: Documents whose sites are computed at once, fewer if they have this many words; words of a stream counted at once.
+SLICE, HELD_WORDS, PIECE = 4000, 1_000_000, 1 << 20
 
 _LINE = r"(?:\r\n|[\n\r\x0b\x0c\x85 ])"
 _HARD = regex.compile(rf"#N#|#n#|<sep>| |{_LINE}(?:[^\S\r\n\x0b\x0c\x85  ]*{_LINE})+")
@@ -55,10 +58,19 @@ _OPEN, _CLOSE = "“„«‹‘「『（([【《〈", "”“»›’」』）)]
 _PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "〈": "〉", '"': '"'}
 _OPENERS = {c: [o for o, closers in _PAIRS.items() if c in closers] for c in _CLOSE}
 _NO_WORD = frozenset("“„«‹「『（([\"—–-")
+_BRACKETS = set(_OPEN + _CLOSE + '"')
 _QUOTES = set("“„«‹「『\"《〈")
 _BRACKET = regex.compile(r"[“„«‹「『（(\[【《〈\"”»›」』）)\]】》〉]")
-_MARK = regex.compile(rf"(?P<mark>\.{{2,}}|[.!?…。！？।॥؟]+)(?P<close>(?:(?:{_BLANK}(?=[»›]))?[”“»›’」』）)\]】》〉\"'])*)")
-_THAI = regex.compile(rf"(?<=[\p{{Thai}}”»\")])(?P<blank>{_BLANK}+)(?=\S)")
+#: Final marks of all scripts (U+104A parts clauses only); a Greek question mark looks like a semicolon. Only the tight ones also stand inside numbers, addresses and names.
+_ENDS = r"\p{STerm}…‥．--\u104a"
+_END = regex.compile(rf"(?V1)[{_ENDS}]")
+_TIGHT = ".!?…‥．"
+_MARK = regex.compile(rf"(?V1)(?P<mark>\.{{2,}}|[{_ENDS}]+|(?<=\p{{Greek}}\p{{M}}*)[;;]+)(?P<close>(?:(?:{_BLANK}(?=[»›]))?[”“»›’」』）)\]】》〉\"'])*)")
+_THAI = regex.compile(r"\p{Thai}")
+_BLANKS = regex.compile(rf"(?<=\S){_BLANK}+(?=\S)")
+_SPACE = regex.compile(r"[\s\p{Z}]|\#tab\#|\#r\#")
+#: Letters without case, and those of them whose script writes words without spaces or sentences without abbreviations of two letters.
+_CASELESS, _DENSE = regex.compile(r"[\p{Lo}\p{M}]"), regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー\p{Hangul}]")
 _BEFORE = regex.compile(r"[\p{L}\p{M}\p{N}.\-’'/@:_​­]{1,60}\Z", regex.REVERSE)
 _LIST = regex.compile(rf"{_BLANK}*[(]?\d{{1,3}}[.)、](?={_BLANK})")
 _UNSPACED_CHAR = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー"
@@ -86,11 +98,11 @@ _LEADING, _TRAILING = frozenset(LEADING), frozenset(TRAILING)
 #: Kinds of sites with the first guess of a boundary; a dot's guess depends on its word, see :func:`first_guess`.
 GUESSES = {
     "dot": 0.97, "abbreviation": 0.5, "leading": 0.03, "trailing": 0.97, "initial": 0.04, "acronym": 0.4, "day": 0.5, "bang": 0.99, "bracket": 0.99, "danda": 0.99, "thai": 0.99, "quote": 0.05,
-    "ellipsis caseless": 0.3, "ellipsis cased": 0.85, "inner colon": 0.9, "inner caseless": 0.2, "inner cased": 0.8, "goes on": 0.02, "dash": 0.02,
+    "ellipsis caseless": 0.3, "ellipsis cased": 0.85, "inner colon": 0.9, "inner caseless": 0.2, "inner cased": 0.8, "goes on": 0.02, "dash": 0.02, "inside": 0.02,
 }
 KINDS = {name: i for i, name in enumerate(GUESSES)}
 _GUESS = np.array(list(GUESSES.values()))
-COLUMNS = ("block", "end", "follow", "kind", "left", "before", "right", "second", "near", "mid1", "mid2", "mid3", "script")
+COLUMNS = ("block", "end", "follow", "kind", "left", "before", "right", "second", "near", "script")
 
 
 class Codes(dict):
@@ -114,11 +126,20 @@ class Codes(dict):
             code = (xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) >> 28 | 1) << 4 | shape
         self[word] = code
         return code
-def _enclosed(text: str, start: int, end: int) -> list[tuple[int, int, bool, bool]]:
-    """(open, close, quotation, at the start of its block or sentence) of the outermost matched pairs of a block."""
+
+
+def _ahead(text: str, start: int, at: int) -> str:
+    """What stands before a place, without the blanks between."""
+    while at > start and text[at - 1].isspace():
+        at -= 1
+    return text[max(start, at - 5) : at]
+
+
+def _enclosed(text: str, start: int, end: int) -> tuple[list[tuple[int, int, bool]], list[tuple[int, int, bool]]]:
+    """(open, close, at the start of its block or sentence) of the outermost quotations of a block, and of its outermost brackets outside of quotations."""
     stack: list[tuple[str, int]] = []
     waiting: Counter = Counter()  # openers on the stack, so that a closer without one costs nothing
-    found = []
+    quotations, brackets = [], []
 
     def pop_to(k: int) -> tuple[str, int]:
         top = stack[k]
@@ -146,41 +167,69 @@ def _enclosed(text: str, start: int, end: int) -> list[tuple[int, int, bool, boo
                     waiting[c] += 1
                 continue
             o, at = pop_to(next(k for k in range(len(stack) - 1, -1, -1) if c in _PAIRS[stack[k][0]]))
-        while found and found[-1][0] > at:
-            found.pop()
-        ahead = text[max(start, at - 12) : at].rstrip()
-        found.append((at, i, o in _QUOTES, not ahead or ahead[-1] in ".!?…。！？।" + _CLOSE or ahead.endswith(("#tab#", "#r#"))))
-    return found
+        for found in (quotations, brackets) if o in _QUOTES else (brackets,):
+            while found and found[-1][0] > at:
+                found.pop()
+        ahead = _ahead(text, start, at)
+        (quotations if o in _QUOTES else brackets).append((at, i, not ahead or _END.match(ahead, len(ahead) - 1) is not None or ahead[-1] in _CLOSE or ahead.endswith(("#tab#", "#r#"))))
+    return quotations, brackets
 
 
-def sites_of(text: str, start: int, end: int, number: int, codes: Codes, out: list[int]) -> None:
-    """Append the sites of one block, from left to right, ``COLUMNS`` numbers each."""
-    spans = [(m.start(), m.start("mark"), m.end(), m.group("mark"), m.group("close")) for m in _MARK.finditer(text, start, end)]
+def _side(text: str, at: int, step: int, stop: int) -> str:
+    """The character at a place, or the next one beyond quotes and brackets."""
+    while at != stop and text[at] in _BRACKETS:
+        at += step
+    return text[at] if at != stop else ""
+
+
+def _thai(c: str) -> bool:
+    return "\u0e00" <= c <= "\u0e7f"
+
+
+def sites_of(text: str, start: int, end: int, number: int, codes: Codes, out: list[int], stream: list[int] | None = None) -> None:
+    """Append the sites of one block, from left to right, ``COLUMNS`` numbers each; and to ``stream`` the codes of all its words.
+
+    In the stream a block begins with -1 - script, and 0 stands between two words that a site parts.
+    """
+    block = text[start:end]
     other = _SCRIPT.search(text, start, end)
     script = _SCRIPTS[other.lastgroup] if other else 0
-    if other and script == _SCRIPTS["thai"] or "฀" <= max(text[start:end], default="") :
-        thai = [(m.start(), m.start(), m.start(), "", "") for m in _THAI.finditer(text, start, end)]
-        if thai:
-            spans = sorted(spans + thai)
-    if not spans:
-        return
-    enclosed = _enclosed(text, start, end)
-    closers = {x[1] for x in enclosed}
-    opens, closes = [x[0] for x in enclosed], [x[1] for x in enclosed]
-    block = text[start:end]
+    tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
+    coded = [codes[text[a:b]] for a, b in tokens]
     shouted = block.upper() == block or block.lower() == block
+    if shouted:
+        coded = [c if c & 15 != LOW else c & ~15 | CAP for c in coded]
+    parted = _sites_in(text, start, end, number, script, shouted, tokens, coded, codes, out)
+    if stream is not None:
+        stream.append(-1 - script)
+        at = 0
+        for k in parted:
+            stream += coded[at:k]
+            stream.append(0)
+            at = k
+        stream += coded[at:]
+
+
+def _sites_in(text: str, start: int, end: int, number: int, script: int, shouted: bool, tokens: list[tuple[int, int]], coded: list[int], codes: Codes, out: list[int]) -> list[int]:
+    """Append the sites of a block with these tokens; the number of the token after each."""
+    spans = [(m.start(), m.start("mark"), m.end(), m.group("mark"), m.group("close")) for m in _MARK.finditer(text, start, end)]
+    if script == _SCRIPTS["thai"] or _THAI.search(text, start, end):
+        thai = [(m.start(), m.start(), m.start(), "", "") for m in _BLANKS.finditer(text, start, end) if m.start() > start and _SPACE.search(m.group())]
+        spans = sorted(spans + thai)
+    parted: list[int] = []
+    if not spans:
+        return parted
+    quotations, brackets = _enclosed(text, start, end)
+    closers = {x[1] for x in (*quotations, *brackets)}
+    opens, closes = [x[0] for x in quotations], [x[1] for x in quotations]
+    bracket_opens, bracket_closes = [x[0] for x in brackets], [x[1] for x in brackets]
     first = _LIST.match(text, start, end)
     skip = first.end() if first else start
-    tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
     begins = [a for a, _ in tokens]
-    words = [t for t in tokens if text[t[0]] not in _NO_WORD]
-    word_ends = [b for _, b in words]
+    words = [k for k, a in enumerate(begins) if text[a] not in _NO_WORD]
+    word_ends = [tokens[k][1] for k in words]
 
-    def code(token: tuple[int, int]) -> int:
-        c = codes[text[token[0] : token[1]]]
-        return c if not shouted or c & 15 != LOW else c & ~15 | CAP
-
-    last_end, last_right = -100, 0
+    last_k, last_follow = -1, -1
     for _, at, stop, mark, close in spans:
         if stop <= skip:
             continue
@@ -195,60 +244,73 @@ def sites_of(text: str, start: int, end: int, number: int, codes: Codes, out: li
             continue  # the block ends here anyway
         last = bisect_left(opens, stop) - 1
         if last >= 0 and stop <= closes[last]:
-            continue
+            continue  # a quotation stays inside the sentence that quotes it
+        last = bisect_left(bracket_opens, stop) - 1
+        inside = last >= 0 and stop <= bracket_closes[last] and not brackets[last][2]
         nxt, gap = text[follow], rest is not None
         k = bisect_left(begins, follow)
         raw_right = text[tokens[k][0] : tokens[k][1]] if k < len(tokens) else ""
         if raw_right and raw_right in "“„«‹「『（([\"":
             # a quotation or bracket opens: its first word tells more
-            right, second = OPEN, code(tokens[k + 1]) if k + 1 < len(tokens) else END
+            right, second = OPEN, coded[k + 1] if k + 1 < len(tokens) else END
         else:
-            right, second = code(tokens[k]) if raw_right else END, code(tokens[k + 1]) if k + 1 < len(tokens) else END
+            right, second = coded[k] if raw_right else END, coded[k + 1] if k + 1 < len(tokens) else END
         w = bisect_right(word_ends, at)
-        before = code(words[w - 2]) if w > 1 else BEGIN
+        before = coded[words[w - 2]] if w > 1 else BEGIN
         left = NONE
         if not mark:
             prior = text[at - 1]
-            if prior.isdigit() or nxt.isdigit() or nxt in ".!?…,;:" or not ("฀" <= prior <= "๿" or prior in _CLOSE + '"') or (prior not in "ๆฯ" and not ("฀" <= prior <= "๿") and not ("฀" <= nxt <= "๿")):
-                continue
-            kind, left = "thai", code(words[w - 1]) if w else NONE
+            if prior.isdigit() or nxt.isdigit() or prior in _OPEN or nxt in ",;:" or _END.match(prior) or _END.match(nxt):
+                continue  # beside a digit nothing ends, nor after what opens; beside a mark the mark's own site tells
+            if not _thai(_side(text, at - 1, -1, start - 1)) and not _thai(_side(text, follow, 1, end)):
+                continue  # a space of another script
+            if follow == last_follow:  # the site of a mark before closing quotes or brackets: the space decides
+                del out[-len(COLUMNS) :], parted[-1:]
+            kind, left = "thai", coded[words[w - 1]] if w else NONE
         else:
-            if nxt in ",;:" or (nxt in ".!?…" and gap is False):
+            if nxt in ",;:" or (_END.match(nxt) and gap is False):
                 continue
-            single, dots = mark == ".", mark[0] == "…" or mark.startswith("..")
+            single, dots = mark in (".", "．"), mark[0] in "…‥" or mark.startswith("..")
             m = _BEFORE.search(text, start, at) if single else None
             raw = m.group().translate(_DROP) if m else ""
             key = raw.lower().strip("'’-")
-            if not gap and not close and mark[0] not in "。！？।॥":
+            brief = False
+            if not gap and not close and mark[0] in _TIGHT:
                 # nothing between mark and next word: numbers, addresses, abbreviations; or a lost space
                 prev = text[at - 1] if at > start else " "
                 if dots:
                     pass
                 elif single:
-                    if "." in key or "/" in key or "@" in key or len(key) < 3 or not prev.islower() or not nxt.isupper():
+                    if _CASELESS.match(prev) and _CASELESS.match(nxt):
+                        dense, address = _DENSE.match(prev) is not None, "@" in key or "//" in key
+                        raw, key = raw.rpartition(".")[2], key.rpartition(".")[2]
+                        if address or _thai(prev) or prev.isnumeric() and nxt.isnumeric() or len(key) < 2 and not dense:
+                            continue
+                        brief = len(key) == 2 and not dense
+                    elif "." in key or "/" in key or "@" in key or len(key) < 3 or not prev.islower() or not nxt.isupper():
                         continue
                 elif nxt.islower() or nxt.isdigit():
                     continue
-            closing = enclosed[bisect_right(closes, at) : bisect_left(closes, stop)]
-            quote = next((x for x in closing if x[2]), None)
+            closing = sorted(quotations[bisect_right(closes, at) : bisect_left(closes, stop)] + brackets[bisect_right(bracket_closes, at) : bisect_left(bracket_closes, stop)], key=lambda x: x[1])
+            quote = next((x for x in closing if text[x[0]] in _QUOTES), None)
             cased = "caseless" if raw_right and not raw_right[0].islower() and not raw_right[0].isupper() and right not in (OPEN, NUM, DASH) else "cased"
             lower = raw_right[:1].islower() and not shouted
-            if quote and not quote[3]:
-                kind = "inner colon" if text[max(start, quote[0] - 3) : quote[0]].rstrip()[-1:] in (":", "：") else f"inner {cased}"
+            if quote and not quote[2]:
+                kind = "inner colon" if _ahead(text, start, quote[0])[-1:] in (":", "：") else f"inner {cased}"
             elif quote:
                 kind = "quote"
             elif closing:
                 kind = "bracket"
             elif single:
                 kind, left = "dot", codes[key + "."]
-                joined = f"{text[words[w - 2][0] : words[w - 2][1]].translate(_DROP).lower()}.{key}" if w > 1 and len(key) <= 2 else key
+                joined = f"{text[tokens[words[w - 2]][0] : tokens[words[w - 2]][1]].translate(_DROP).lower()}.{key}" if w > 1 and len(key) <= 2 else key
                 if key in _TRAILING or joined in _TRAILING:
                     kind, left = "trailing", codes[joined + "."] if joined in _TRAILING else left
                 elif key in _LEADING or joined in _LEADING:
                     kind = "leading"
-                elif len(key) == 1 and key.isalpha():
+                elif len(key) == 1 and key.isalpha() and not _DENSE.match(key):
                     kind, left = "initial", codes[key + "."]
-                elif "." in key and _ACRONYM.fullmatch(key):
+                elif brief or "." in key and _ACRONYM.fullmatch(key):
                     kind, left = "acronym", codes[key + "."]
                 elif key.isdigit() and len(key) <= 2 and 1 <= int(key) <= 31:
                     kind, left = "day", DAY
@@ -263,10 +325,13 @@ def sites_of(text: str, start: int, end: int, number: int, codes: Codes, out: li
             elif lower:
                 left = left if single else NONE
                 kind = "goes on"
-        near = int(last_right == before and before != BEGIN and stop - last_end < 40)
-        mids = [code(words[i]) if i >= 0 else 0 for i in (w - 4, w - 3, w - 2)]
-        out += (number, stop if mark else at, follow, KINDS[kind], left, before, right, second, near, *mids, script)
-        last_end, last_right = stop, right
+        if inside:
+            kind = "inside"
+        near = int(w > 1 and last_k == words[w - 2])
+        out += (number, stop if mark else at, follow, KINDS[kind], left, before, right, second, near, script)
+        parted.append(k)
+        last_k, last_follow = k, follow
+    return parted
 
 
 def blocks_of(text: str) -> Iterator[tuple[int, int]]:
@@ -283,11 +348,12 @@ def blocks_of(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _slots(feature: int, *parts: np.ndarray) -> np.ndarray:
-    """(2, n): the slots of n-grams in both tables, which lie one after the other."""
+    """(2, n): the slots of n-grams in both tables, which lie one after the other; those for words anywhere lie behind the others."""
+    at = np.uint64(2 * SLOTS if feature in (ANY, WORD, PAIR) else 0)
     h = np.full(len(parts[0]), feature, np.uint64)
     for p in parts:
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + p.view(np.uint64))
-    return np.stack([h % np.uint64(SLOTS), np.uint64(SLOTS) + (h >> np.uint64(40)) % np.uint64(SLOTS)]).astype(np.int64)
+    return np.stack([at + h % np.uint64(SLOTS), at + np.uint64(SLOTS) + (h >> np.uint64(40)) % np.uint64(SLOTS)]).astype(np.int64)
 
 
 class HiddenEventModel:
@@ -302,12 +368,15 @@ class HiddenEventModel:
         self.short = np.zeros(0, np.int64) if short is None else short
         self.counts = counts
 
+    def _known_or_shape(self, codes: np.ndarray) -> np.ndarray:
+        return np.where((codes < 16) | _among(self.known, codes), codes, codes & 15)
+
     def features(self, sites: np.ndarray) -> dict[str, np.ndarray]:
         """Slots of all n-grams of the sites (rows of ``COLUMNS``), and their first guesses."""
         c = {name: np.ascontiguousarray(sites[:, i]) for i, name in enumerate(COLUMNS)}
         raw_left = c["left"]
-        for name in ("left", "before", "right", "second", "mid1", "mid2", "mid3"):
-            c[name] = np.where((c[name] < 16) | _among(self.known, c[name]), c[name], c[name] & 15)
+        for name in ("left", "before", "right", "second"):
+            c[name] = self._known_or_shape(c[name])
         dot = (c["kind"] == KINDS["dot"]) & _among(self.short, raw_left >> 4)
         kind = np.where(dot, KINDS["abbreviation"], c["kind"])
         shape = np.where(raw_left > 15, raw_left & 15, raw_left)
@@ -315,13 +384,9 @@ class HiddenEventModel:
         g, left = c["script"], c["left"]
         f = {
             "e0": _slots(1, cue), "e0s": _slots(2, cue), "e1": _slots(3, kind, left), "e1s": _slots(4, kind, left), "e2": _slots(5, kind, c["before"], left), "e2s": _slots(6, kind, c["before"], left),
-            "m": _slots(7, g), "m1": _slots(8, g, c["right"]), "m2": _slots(9, g, c["right"], c["second"]), "s": _slots(10, g), "s1": _slots(11, g, c["right"]), "s2": _slots(12, g, c["right"], c["second"]),
+            "m": _slots(ANY, g), "m1": _slots(WORD, g, c["right"]), "m2": _slots(PAIR, g, c["right"], c["second"]), "s": _slots(10, g), "s1": _slots(11, g, c["right"]), "s2": _slots(12, g, c["right"], c["second"]),
             "x": _slots(13, kind, g), "x1": _slots(14, kind, g, c["right"]), "x2": _slots(15, kind, g, c["right"], c["second"]),
         }
-        for i in (1, 2, 3):
-            f[f"w{i}"], f[f"given{i}"] = _slots(8, g, c[f"mid{i}"]), c[f"mid{i}"] != 0
-        for i in (1, 2):
-            f[f"w{i}w"] = _slots(9, g, c[f"mid{i}"], c[f"mid{i + 1}"])
         begin = np.full(len(sites), BEGIN, np.int64)
         f |= {"h2": _slots(5, kind, begin, left), "h2s": _slots(6, kind, begin, left), "guess": _GUESS[kind], "near": c["near"]}
         return f
@@ -373,13 +438,22 @@ class HiddenEventModel:
         """The fractional n-gram counts around the sites, by slot."""
         one, no = np.ones(len(p)), 1 - p
         weights = {"e0": one, "e0s": p, "e1": one, "e1s": p, "e2": one, "e2s": p, "s": p, "s1": p, "s2": p, "x": no, "x1": no, "x2": no}
-        pairs = [(f[name], w) for name, w in weights.items()]
-        for i in (1, 2, 3):
-            given = f[f"given{i}"]
-            pairs += [(x[:, given], one[given]) for x in (f[f"w{i}"], f["m"])]
-            if i < 3:
-                pairs.append((f[f"w{i}w"][:, given], one[given]))
-        return np.bincount(np.concatenate([x.ravel() for x, _ in pairs]), np.concatenate([np.tile(w, 2) for _, w in pairs]), 2 * SLOTS)
+        return np.bincount(np.concatenate([f[name].ravel() for name in weights]), np.concatenate([np.tile(w, 2) for w in weights.values()]), 4 * SLOTS)
+
+    def word_counts(self, stream: np.ndarray) -> np.ndarray:
+        """By slot, how often every word stands in whole blocks and follows another without a site between them; ``stream`` as in :func:`sites_of`."""
+        begins = stream < 0
+        scripts = -1 - stream[begins]
+        number = np.cumsum(begins) - 1
+        sums = np.zeros(4 * SLOTS)
+        for at in range(0, len(stream), PIECE):
+            part = stream[at : at + PIECE + 1]  # one word more, for its pair
+            g, code, word = scripts[number[at : at + PIECE + 1]], self._known_or_shape(part), part > 0
+            pair = word[1:] & word[:-1]
+            alone = word[:PIECE]
+            slots = (_slots(ANY, g[:PIECE][alone]), _slots(WORD, g[:PIECE][alone], code[:PIECE][alone]), _slots(PAIR, g[1:][pair], code[:-1][pair], code[1:][pair]))
+            sums += np.bincount(np.concatenate([x.ravel() for x in slots]), minlength=4 * SLOTS)
+        return sums
 
 
 def _among(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -414,11 +488,11 @@ def abbreviations(words: pa.Table) -> np.ndarray:
     return np.unique(np.array(out, np.int64))
 
 
-_SITES = "doc_id {}, word string, how int, n bigint, starts array<bigint>, ends array<bigint>, " + ", ".join(f"{c} array<bigint>" for c in COLUMNS)
+_SITES = "doc_id {}, word string, how int, n bigint, starts array<bigint>, ends array<bigint>, words array<bigint>, " + ", ".join(f"{c} array<bigint>" for c in COLUMNS)
 
 
 def site_table(texts: DataFrame) -> DataFrame:
-    """A row per document of (doc_id, text): bounds of its blocks and its sites as columns of numbers; and rows (word, how, n) with the counts of short words."""
+    """A row per document of (doc_id, text): bounds of its blocks, the stream of all its words, and its sites as columns of numbers; and rows (word, how, n) with the counts of short words."""
     schema = _SITES.format(texts.schema["doc_id"].dataType.simpleString())
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -438,24 +512,28 @@ def site_table(texts: DataFrame) -> DataFrame:
 
         for whole in batches:
             key_type = whole.schema.types[0]
-            for at in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(at, SLICE)
-                starts, ends, sites, sizes, blocks = [], [], [], [], []
-                for text in batch.column(1).to_pylist():
-                    before, number = len(sites), 0
+            at = 0
+            while at < whole.num_rows:
+                starts, ends, sites, sizes, blocks, stream, lengths = [], [], [], [], [], [], []
+                for text in whole.column(1).slice(at, SLICE).to_pylist():
+                    before, known, number = len(sites), len(stream), 0
                     for number, (a, b) in enumerate(blocks_of(text), 1):
                         starts.append(a)
                         ends.append(b)
-                        sites_of(text, a, b, number, codes, sites)
+                        sites_of(text, a, b, number, codes, sites, stream)
                     blocks.append(number)
                     sizes.append((len(sites) - before) // len(COLUMNS))
+                    lengths.append(len(stream) - known)
                     short_words(text, held)
+                    if len(stream) >= HELD_WORDS:
+                        break
                 columns = np.array(sites, np.int64).reshape(-1, len(COLUMNS))
-                n = batch.num_rows
+                n = len(blocks)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), lists(np.array(starts), blocks), lists(np.array(ends), blocks), *[lists(np.ascontiguousarray(columns[:, i]), sizes) for i in range(len(COLUMNS))]],
+                    [whole.column(0).slice(at, n), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), lists(np.array(starts), blocks), lists(np.array(ends), blocks), lists(np.array(stream), lengths), *[lists(np.ascontiguousarray(columns[:, i]), sizes) for i in range(len(COLUMNS))]],
                     names=names,
                 )
+                at += n
                 if len(held) >= HELD_COUNTS:
                     yield flush()
         if held:
@@ -477,31 +555,40 @@ def train(sites: DataFrame, rounds: int = ROUNDS) -> HiddenEventModel:
     all_dotted, total = sums[0] or 0, sums[1] or 0
     some = words.filter((F.col("dotted") >= max(3.0, LEAST_DOTTED * all_dotted)) & (F.col("on") >= F.col("dotted") * 0.1))
     short = abbreviations(some.select("word", "plain", "dotted", F.lit(all_dotted).alias("all_dotted"), F.lit(total).alias("total")).toArrow())
-    codes = {"around": F.concat("before", "right", "second", "mid1", "mid2", "mid3"), "left": F.col("left")}
-    around = [sites.filter("word is null").select(F.lit(k).alias("kind"), F.explode(c).alias("code")) for k, c in codes.items()]
-    around = written(around[0].unionByName(around[1]).groupBy("kind", "code").agg(F.count("*").alias("n")), "site_words")
+    around = [sites.filter("word is null").select(F.lit(k).alias("kind"), F.explode(c).alias("code")) for k, c in (("all", "words"), ("left", "left"))]
+    around = written(around[0].filter("code > 15").unionByName(around[1]).groupBy("kind", "code").agg(F.count("*").alias("n")), "site_words")
     sums = dict(around.groupBy("kind").agg(F.sum(F.when((F.col("kind") == "left") | (F.col("code") > 15), F.col("n")))).collect())
-    least = F.when(F.col("kind") == "left", max(5.0, LEAST_LEFT * (sums.get("left") or 0))).otherwise(max(5.0, LEAST_SHARE * (sums.get("around") or 0)))
+    least = F.when(F.col("kind") == "left", max(5.0, LEAST_LEFT * (sums.get("left") or 0))).otherwise(max(5.0, LEAST_SHARE * (sums.get("all") or 0)))
     known = np.unique(np.asarray(around.filter((F.col("code") > 15) & (F.col("n") >= least)).select("code").toArrow().column(0), np.int64))
     dropped(words, around)
     model = HiddenEventModel(known, short)
-    for _ in range(rounds):
+
+    def summed(columns: tuple[str, ...], counts_of) -> np.ndarray:
+        """Sums by slot of what ``counts_of`` gives for each batch of these columns."""
         shared = spark.sparkContext.broadcast((model.known, model.short, model.counts))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, sums = HiddenEventModel(*shared.value), np.zeros(2 * SLOTS)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, sums = HiddenEventModel(*shared.value), np.zeros(4 * SLOTS)
             for batch in batches:
-                if len(rows := _sites(batch)):
-                    f = m.features(rows)
-                    sums += m.ngram_counts(f, m.posteriors(f))
+                sums += counts_of(m, batch)
             slots = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int32)), pa.array(sums[slots])], names=["slot", "n"])
 
-        got = sites.filter("word is null").select(*COLUMNS).mapInArrow(run, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+        got = sites.filter("word is null").select(*columns).mapInArrow(run, "slot int, n double").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
         shared.destroy()
-        counts = np.zeros(2 * SLOTS, np.float32)
+        counts = np.zeros(4 * SLOTS)
         counts[np.asarray(got.column("slot"))] = np.asarray(got.column("n"))
-        model = HiddenEventModel(known, short, counts)
+        return counts
+
+    def of_sites(m: HiddenEventModel, batch: pa.RecordBatch):
+        if not len(rows := _sites(batch)):
+            return 0.0
+        f = m.features(rows)
+        return m.ngram_counts(f, m.posteriors(f))
+
+    words_alone = summed(("words",), lambda m, batch: m.word_counts(np.asarray(batch.column("words").flatten(), np.int64)))
+    for _ in range(rounds):
+        model = HiddenEventModel(known, short, (words_alone + summed(COLUMNS, of_sites)).astype(np.float32))
     return model
 
 
@@ -546,7 +633,7 @@ def sentence_units(df: DataFrame, key: str, text: str) -> DataFrame:
             number = np.arange(len(doc)) - np.searchsorted(doc, doc)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), pa.array(starts), pa.array(ends), pa.array(number)], names=["doc_id", "start_char", "end_char", "unit"])
 
-    return sites.filter("word is null").drop("word", "how", "n").mapInArrow(run, f"doc_id {kind}, start_char bigint, end_char bigint, unit bigint")
+    return sites.filter("word is null").drop("word", "how", "n", "words").mapInArrow(run, f"doc_id {kind}, start_char bigint, end_char bigint, unit bigint")
 
 
 def p9_found(spark, folder: str) -> DataFrame:

@@ -125,3 +125,50 @@ def test_long_blocks_take_linear_time():
     text = "(((“ " * 20_000 + '"Go on. Stop!" he said. ' * 20_000 + "» ) ”" * 20_000
     units = S.units_of(text, MODEL)
     assert units and time.perf_counter() - began < 30
+
+
+EVERYWHERE = [
+    ["เขาใช้", "Python", "แล้ว", "Moss", "ดี"],
+    ["เขามา", "(ดี!)", "ครับ"],
+    ["یہ ایک کتاب ہے۔", "وہ آیا۔", "ختم"],
+    ["Սա գիրք է։", "Նա եկավ։", "Վերջ։"],
+    ["Τι είναι;", "Δεν ξέρω;", "Καλά."],
+    ["ይህ መጽሐፍ ነው።", "እሺ።"],
+    ["(It was late.", "Nobody came.)", "Then it rained."],
+    ["He left (why? Nobody knows) at noon.", "It ended."],
+    ["(He said “Go. Now.” and left.", "Then it rained.)", "It ended."],
+]
+
+
+@pytest.mark.parametrize("units", EVERYWHERE)
+def test_candidates_in_every_script_and_place(units):
+    text = " ".join(units)
+    assert [text[a:b] for a, b in S.units_of(text, MODEL)] == units
+
+
+def test_lost_spaces_and_marks_in_scripts_without_case():
+    for units in (["没有人知道.", "来了.", "我们等."], ["价格三.五元。", "来了．", "没到．"], ["これ｡", "それ｡"], ["갔다.", "그는 왔다."], ["वह आया.", "वह जाता.", "डॉ.राम यहाँ।"]):
+        text = "".join(units)
+        assert [text[a:b] for a, b in S.units_of(text, MODEL)] == units
+
+
+def test_all_words_are_counted_wherever_they_stand(spark):
+    texts = ["The old boat went far beyond every quiet harbour of the north and came back. Nobody saw it.", "No mark in this line at all"] * 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = S.train(S.written(S.site_table(df), "sites"))
+    count = lambda *ngram: float(min(model.counts[S._slots(*[x if i == 0 else np.array([x], np.int64) for i, x in enumerate(ngram)])[:, 0]]))
+    codes = S.Codes()
+    assert count(7, 0) == 20 * (18 + 7)
+    assert [count(8, 0, codes[w]) for w in ("boat", "quiet", "back", "Nobody", "mark", "all")] == [20] * 6
+    # neighbours, but not across a site
+    assert [count(9, 0, codes[a], codes[b]) for a, b in (("old", "boat"), ("beyond", "every"), ("this", "line"), ("back", "Nobody"))] == [20, 20, 20, 0]
+
+
+def test_words_of_a_stream_are_counted_alike_in_any_pieces(monkeypatch):
+    out, stream = [], []
+    text = "We met J. K. Moss there. Yes. No.\n\nเขามา แล้ว\n\nNobody came (why? who knows) at all."
+    for k, (a, b) in enumerate(S.blocks_of(text)):
+        S.sites_of(text, a, b, k, S.Codes(), out, stream)
+    whole = MODEL.word_counts(np.array(stream, np.int64))
+    monkeypatch.setattr(S, "PIECE", 3)
+    assert whole.sum() > 0 and (whole == MODEL.word_counts(np.array(stream, np.int64))).all()
