@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from fusemill.functions.scoring import B, DELTA, K1, term_weight
 from fusemill.operators.ranking import running_total
+from fusemill.runtime import written
 
+#: Terms that are broadcast, at most.
+BROADCAST_TERMS = 500_000
 #: Postings of one array of a packed index, at most.
 CHUNK = 100_000
 
@@ -42,6 +45,29 @@ def postings(tok: DataFrame, tf: DataFrame, method: str = "lucene", k1: float =
     return tf.join(document_frequencies(tf), "term").crossJoin(F.broadcast(corpus_stats(tok, average))).select("term", "doc_id", weight.alias("weight"))
 
 
+def wanted_postings(tok: DataFrame, wanted: DataFrame, method: str = "lucene", average: float | None = None, frequencies: DataFrame | None = None, stats: DataFrame | None = None) -> DataFrame:
+    """:func:`postings` of the terms of ``wanted`` (term) alone; frequencies and statistics are those of the whole ``tok``, or given.
+
+    Only words that are wanted are shuffled, once and by document.
+    """
+    df = wanted_frequencies(tok, wanted) if frequencies is None else frequencies
+    words = tok.select("doc_id", "dl", F.explode("tokens").alias("term")).join(_small(df), "term").repartition("doc_id")
+    tf = words.groupBy("doc_id", "dl", "term", "df").agg(F.count("*").alias("tf"))
+    weight = term_weight(method, F.col("tf"), F.col("df"), F.col("dl"), F.col("n_docs"), F.col("avgdl"))
+    return tf.crossJoin(F.broadcast(corpus_stats(tok, average) if stats is None else stats)).select("term", "doc_id", weight.alias("weight"))
+
+
+def wanted_frequencies(tok: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, df), written, of the terms of ``wanted`` that stand in a document."""
+    words = written(wanted.select("term").distinct(), "wanted")
+    return written(tok.select(F.explode(F.array_distinct("tokens")).alias("term")).join(_small(words), "term").groupBy("term").agg(F.count("*").alias("df")), "frequencies")
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast a written table of terms if a count allows it."""
+    return F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+
+
 def posting_lengths(post: DataFrame) -> DataFrame:
     """(term, length)."""
     return post.groupBy("term").agg(F.count("*").alias("length"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fusemill.functions.scoring import saturated
+from fusemill.operators import shards
 from fusemill.operators.ranking import top_k
 from fusemill.runtime import written
 
@@ -49,8 +50,17 @@ def above(scores: DataFrame, threshold: float = 0.0) -> DataFrame:
     return scores.filter(F.col("score") > threshold)
 
 
-def search(queries: DataFrame, post: DataFrame, k: int, threshold: float = 0.0) -> DataFrame:
-    return top_k(above(match(queries, post), threshold), ["qid"], "score", "doc_id", k)
+def search(queries: DataFrame, post: DataFrame, k: int, threshold: float = 0.0, digits: int = 6) -> DataFrame:
+    """The first k of ``match`` above the threshold, with ``rank``; equal scores go by document.
+
+    No score of a (query, document) pair leaves a task: the postings of the queries' terms are packed into shards of whole documents in the
+    shared folder, and each block of queries adds up its sums shard by shard in memory, keeping k documents. Queries that have the same
+    terms in the index are searched for once. A threshold below 0 would let in documents that share no term with the query: then,
+    and for ids that are not numbers, all pairs are joined.
+    """
+    if threshold >= 0 and dict(post.dtypes)["doc_id"] in ("bigint", "int"):
+        return shards.search(queries, post, k, threshold, digits, BLOCK_TERMS)
+    return top_k(above(match(queries, post, digits), threshold), ["qid"], "score", "doc_id", k)
 
 
 def merged_top_k(shards: list[DataFrame], k: int) -> DataFrame:
